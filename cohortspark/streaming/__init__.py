@@ -1,0 +1 @@
+"""Intentionally empty: every operator here is a batch job anchored to an entity's own index time."""
