@@ -32,7 +32,7 @@ def clinical_spec() -> FeatureSpec:
         items=fixed.VITAL_ITEMS,
         derived=fixed.DERIVED_ITEMS,
         rules=tuple(Rule(item, op, threshold) for item, op, threshold in fixed.SCORE_RULES),
-        static={"age": replace_sentinel("age"), "gender": category_code("gender")},
+        static={"age": lambda: replace_sentinel("age"), "gender": lambda: category_code("gender")},
         stay_order=("inTime", "icustayID"),
         index_time="indexDate",
     )
@@ -87,7 +87,7 @@ def read_raw_tables(
     return {name: read_csv_table(spark, f"{folder}/{name}{suffix}", given.get(name)) for name in RAW_TABLES}
 
 
-def run_pipeline(
+def run_clinical(
     spark: SparkSession,
     raw_folder: str,
     save_folder: str,

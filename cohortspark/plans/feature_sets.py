@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -26,7 +26,8 @@ class FeatureSpec:
     """Which columns and items make up a feature set.
 
     ``items`` maps the codes of measured items to column names, ``derived`` those of the score and the static
-    attributes. ``static`` computes the static attributes from a stay; the first stay in ``stay_order`` counts.
+    attributes. ``static`` gives, by name, functions that return the expression of a static attribute of a stay; the
+    first stay in ``stay_order`` counts.
     """
 
     entity: str
@@ -37,12 +38,15 @@ class FeatureSpec:
     items: Mapping[Any, str]
     derived: Mapping[Any, str] = field(default_factory=dict)
     rules: Sequence[Rule] = ()
-    static: Mapping[str, Column] = field(default_factory=dict)
+    static: Mapping[str, Callable[[], Column]] = field(default_factory=dict)
     stay_order: Sequence[str] = ()
     score: str = "score"
     index_time: str = "index_time"
     label: str = "label"
 
+    def static_columns(self) -> dict[str, Column]:
+        return {name: expression() for name, expression in self.static.items()}
+
     def feature_items(self) -> dict[Any, str]:
         """All items in ascending order of code: the layout of the vectors."""
         return dict(sorted({**self.derived, **self.items}.items()))
@@ -80,7 +84,8 @@ def feature_table(
     )
     scored = wide.withColumn(spec.score, wide_score(spec.rules, spec.items))
     if spec.static:
-        scored = attach_static(scored, dedupe_static(stays, spec.entity, spec.static, spec.stay_order), spec.entity)
+        static = dedupe_static(stays, spec.entity, spec.static_columns(), spec.stay_order)
+        scored = attach_static(scored, static, spec.entity)
     return scored.select(*keys, *[name for name in spec.feature_items().values() if name in scored.columns])
 
 
