@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,13 +13,10 @@ from cohortspark.plans import fixed_values as fixed
 from cohortspark.plans.cohort import build_cohort, clean_cultures, clean_prescriptions, clean_vitals
 from cohortspark.plans.dictionaries import antibiotics
 from cohortspark.plans.feature_sets import FeatureSpec, feature_table, feature_vectors
-from cohortspark.sources.checkpoints import checkpoint_or_reload
+from cohortspark.sources.checkpoints import checkpoint_or_reload, durable
 from cohortspark.sources.tables import read_csv_table, read_dictionary_text
 from cohortspark.sources.vectors import feature_set_path, write_libsvm
 
-RECORD_TABLES = ("icustays", "prescriptions", "microbiologyevents", "chartevents")
-RAW_TABLES = ("PATIENTS", "ICUSTAYS", "PRESCRIPTIONS", "MICROBIOLOGYEVENTS", "CHARTEVENTS")
-
 
 def clinical_spec() -> FeatureSpec:
     """Nine vital signs, the quick organ-failure score, age and gender."""
@@ -38,19 +35,28 @@ def clinical_spec() -> FeatureSpec:
     )
 
 
-def clean_records(
-    raw: dict[str, DataFrame], drugs: DataFrame, null_time: str = "epoch"
-) -> dict[str, DataFrame]:
-    """The four record tables from the five raw ones."""
-    cohort = build_cohort(raw["PATIENTS"], raw["ICUSTAYS"])
+def record_steps(
+    raw: Callable[[str], DataFrame], drugs: DataFrame, null_time: str = "epoch"
+) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
+    """How each of the four record tables comes from the five raw ones (by name) and the cohort of stays."""
     return {
-        "icustays": cohort,
-        "prescriptions": clean_prescriptions(raw["PRESCRIPTIONS"], cohort, drugs, null_time=null_time),
-        "microbiologyevents": clean_cultures(raw["MICROBIOLOGYEVENTS"], cohort),
-        "chartevents": clean_vitals(raw["CHARTEVENTS"], cohort),
+        "icustays": lambda done: build_cohort(raw("PATIENTS"), raw("ICUSTAYS")),
+        "prescriptions": lambda done: clean_prescriptions(
+            raw("PRESCRIPTIONS"), done["icustays"], drugs, null_time=null_time
+        ),
+        "microbiologyevents": lambda done: clean_cultures(raw("MICROBIOLOGYEVENTS"), done["icustays"]),
+        "chartevents": lambda done: clean_vitals(raw("CHARTEVENTS"), done["icustays"]),
     }
 
 
+def clean_records(raw: dict[str, DataFrame], drugs: DataFrame, null_time: str = "epoch") -> dict[str, DataFrame]:
+    """The four record tables; only the stays, which all the others are filtered by, are written in between."""
+    records: dict[str, DataFrame] = {}
+    for name, step in record_steps(raw.__getitem__, drugs, null_time).items():
+        records[name] = durable(step(records)) if name == "icustays" else step(records)
+    return records
+
+
 def clinical_index(records: dict[str, DataFrame]) -> DataFrame:
     """``(hadmID, indexDate, label)``: drug orders are the first kind of event, cultures the second."""
     return index_dates(
@@ -79,12 +85,9 @@ def clinical_features(
     )
 
 
-def read_raw_tables(
-    spark: SparkSession, folder: str, schemas: dict[str, str] | None = None, suffix: str = ".csv"
-) -> dict[str, DataFrame]:
-    """The five raw files of a folder, each also as a view of its name. Files without a schema are inferred."""
-    given = schemas or {}
-    return {name: read_csv_table(spark, f"{folder}/{name}{suffix}", given.get(name)) for name in RAW_TABLES}
+def read_raw_table(spark: SparkSession, folder: str, name: str, schemas: dict[str, str] | None = None) -> DataFrame:
+    """One of the raw files of a folder, also as a view of its name. A file without a schema is inferred."""
+    return read_csv_table(spark, f"{folder}/{name}.csv", (schemas or {}).get(name))
 
 
 def run_clinical(
@@ -107,8 +110,7 @@ def run_clinical(
     records = checkpoint_or_reload(
         spark,
         save_folder,
-        lambda: clean_records(read_raw_tables(spark, raw_folder, schemas), drugs),
-        list(RECORD_TABLES),
+        record_steps(lambda name: read_raw_table(spark, raw_folder, name, schemas), drugs),
         reload,
     )
     vectors = feature_vectors(clinical_features(records, pred_hours, obs_hours, agg), clinical_spec())

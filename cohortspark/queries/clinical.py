@@ -38,7 +38,7 @@ VITAL_LABEL = """CASE WHEN p_size < 8 THEN 'Arterial Blood Pressure mean' WHEN p
  WHEN p_size < 42 THEN 'bp cuff' ELSE 'Weight' END"""
 VITAL_CATEGORY = """CASE WHEN p_type IN ('PROMO', 'LARGE') THEN 'Routine Vital Signs' WHEN p_type = 'SMALL' THEN 'Respiratory'
  WHEN p_type = 'MEDIUM' THEN 'Neurological' ELSE 'Labs' END"""
-VITAL_SOURCE = "CASE WHEN p_retailprice < 1000 THEN 'carevue' ELSE 'metavision' END"
+VITAL_SOURCE = "CASE WHEN p_retailprice < 920 THEN 'carevue' ELSE 'metavision' END"
 LONG_TITLE = """CASE WHEN p_size < 8 THEN 'Sepsis of ' || p_name WHEN p_size < 12 THEN 'Puerperal sepsis, ' || p_name
  WHEN p_size < 16 THEN 'Herpetic septicemia' WHEN p_size < 20 THEN 'Streptococcal septicemia' WHEN p_size < 24 THEN 'Shock, ' || p_name
  WHEN p_size < 28 THEN 'Septicemia of newborn' WHEN p_size >= 34 THEN 'Fracture, ' || p_name END"""

@@ -44,11 +44,9 @@ def csv_scan_named_view(spark: SparkSession, folder: str) -> DataFrame:
 def parquet_checkpoint_reload(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark)
 
-    def build() -> dict[str, DataFrame]:
-        return {"events": table(spark, folder, "events")}
-
-    checkpoint_or_reload(spark, path, build, ["events"], reload=True)
-    return checkpoint_or_reload(spark, path, build, ["events"])["events"]
+    build = {"events": lambda saved: table(spark, folder, "events")}
+    checkpoint_or_reload(spark, path, build, reload=True)
+    return checkpoint_or_reload(spark, path, build)["events"]
 
 
 @query("SELECT DISTINCT lower(p_brand || ' ' || p_name) AS value FROM part")

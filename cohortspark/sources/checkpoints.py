@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,17 +49,23 @@ def write_parquet_checkpoint(df: DataFrame, path: str, partition_by: str | None
 
 
 def checkpoint_or_reload(
-    spark: SparkSession, path: str, build: Callable[[], dict[str, DataFrame]], names: list[str], reload: bool = False
+    spark: SparkSession,
+    path: str,
+    build: Mapping[str, Callable[[dict[str, DataFrame]], DataFrame]],
+    reload: bool = False,
 ) -> dict[str, DataFrame]:
     """Tables saved below ``path``; they are built and saved first when asked to, or when any of them is missing.
 
-    A table counts as saved once Spark has marked its write as complete, so an interrupted run is built again.
+    ``build`` gives for each table, in order, a function of the tables saved before it. A table counts as saved
+    once Spark has marked its write as complete, so an interrupted run is built again.
     """
-    complete = all(path_exists(spark, f"{path}/{name}/_SUCCESS") for name in names)
-    if reload or not complete:
-        for name, df in build().items():
-            write_parquet_checkpoint(df, f"{path}/{name}")
-    return {name: read_parquet(spark, f"{path}/{name}") for name in names}
+    complete = all(path_exists(spark, f"{path}/{name}/_SUCCESS") for name in build)
+    saved: dict[str, DataFrame] = {}
+    for name, step in build.items():
+        if reload or not complete:
+            write_parquet_checkpoint(step(saved), f"{path}/{name}")
+        saved[name] = read_parquet(spark, f"{path}/{name}")
+    return saved
 
 
 def durable(df: DataFrame) -> DataFrame:
