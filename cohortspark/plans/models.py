@@ -93,12 +93,12 @@ def param_grid(estimator: Estimator, values: dict[str, list[Any]]) -> list[dict]
 
 
 def cross_validate(
-    train: DataFrame, estimator: Estimator, grid: list[dict], *, key: str | None = None, folds: int = SEARCH_FOLDS,
+    train: DataFrame, estimator: Estimator, grid: list[dict], *, fold: str | None = None, folds: int = SEARCH_FOLDS,
     parallelism: int = 2, seed: int = SPLIT_SEED,
 ) -> Model:
     """The best model of a grid by area under the ROC curve, fitted again on all of ``train``.
 
-    With a key the folds depend on it and are balanced by label; without one Spark draws them at random.
+    ``fold`` names the column with the fold of each row; without one Spark draws the folds at random.
     """
     search = CrossValidator(
         estimator=estimator,
@@ -108,64 +108,99 @@ def cross_validate(
         parallelism=parallelism,
         seed=seed,
     )
-    if key is not None:
-        train = stratified_kfold_assign(train, key, "label", folds, seed, "fold")
-        search.setFoldCol("fold")
-    train = train.persist()
-    try:
-        return search.fit(train).bestModel
-    finally:
-        train.unpersist()
+    if fold is not None:
+        search.setFoldCol(fold)
+    return search.fit(train).bestModel
 
 
-def prediction_metrics(model_name: str, predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, weighted F1, precision and recall, and both areas, of predictions with raw scores."""
+def prediction_metrics(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Accuracy, weighted F1, precision and recall, and both areas, of predictions with raw scores, per model."""
     scored = predictions.withColumn("_score", vector_element("rawPrediction", 1))
     weighted = metric_rows(
         weighted_metrics(scored, by=by), ["accuracy", "f1", "weighted_precision", "weighted_recall"], by
     )
     areas = metric_rows(area_metrics(threshold_counts(scored, score="_score", by=by), by), ["auroc", "auprc"], by)
-    return weighted.unionByName(areas).select(F.lit(model_name).alias("model"), *by, "metric", "value")
+    return weighted.unionByName(areas)
 
 
-def forest_metrics(model_name: str, predictions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def forest_metrics(predictions: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     """Accuracy, precision, recall and F1 of class 1, and the area under the ROC curve of its probability."""
     scored = predictions.withColumn("_score", vector_element("probability", 1))
     hard = metric_rows(binary_metrics(scored, by=by), ["accuracy", "precision", "recall", "f1"], by)
     area = metric_rows(area_metrics(threshold_counts(scored, score="_score", by=by), by), ["auroc"], by)
-    return hard.unionByName(area).select(F.lit(model_name).alias("model"), *by, "metric", "value")
+    return hard.unionByName(area)
 
 
-def _fit_and_test(
-    name: str, features: DataFrame, estimator: Estimator, grid: dict[str, list[Any]], key: str | None, scaled: bool,
-    parallelism: int,
-) -> Fitted:
-    train, test = train_test_split(features, key, TRAIN_SHARE, SPLIT_SEED)
-    if scaled:
-        train, test = scale_unit_std(train, test)
-    model = cross_validate(train, estimator, param_grid(estimator, grid), key=key, parallelism=parallelism)
+@dataclass
+class Prepared:
+    """A train split with scaled features and folds, and a test split scaled alike; both written to storage."""
+
+    train: DataFrame
+    test: DataFrame
+    has_folds: bool
+
+
+def prepare(features: DataFrame, key: str | None = None, folds: int = SEARCH_FOLDS) -> Prepared:
+    """Split by the key (or at random), scale by the spread of the train rows and deal these out to folds."""
+    train, test = scale_unit_std(*train_test_split(features, key, TRAIN_SHARE, SPLIT_SEED))
+    if key is not None:
+        train = stratified_kfold_assign(train, key, "label", folds, SPLIT_SEED, "fold")
+    return Prepared(durable(train), durable(test), key is not None)
+
+
+def _search(
+    name: str, data: Prepared, estimator: Estimator, grid: dict[str, list[Any]], parallelism: int
+) -> tuple[Model, DataFrame]:
+    """The best model, and its predictions on the test rows."""
+    model = cross_validate(
+        data.train, estimator, param_grid(estimator, grid), fold="fold" if data.has_folds else None,
+        parallelism=parallelism,
+    )
+    predicted = model.transform(data.test).select(F.lit(name).alias("model"), "label", "prediction", "rawPrediction")
+    return model, predicted
+
+
+def _fitted(model: Model, predictions: DataFrame) -> Fitted:
     # Several aggregations read the predictions.
-    predictions = durable(model.transform(test).select("label", "prediction", "rawPrediction"))
-    return Fitted(model, predictions, prediction_metrics(name, predictions))
+    predictions = durable(predictions)
+    return Fitted(model, predictions, prediction_metrics(predictions))
 
 
-def fit_logistic_cv(features: DataFrame, key: str | None = None, grid: str = "full", parallelism: int = 2) -> Fitted:
+def _logistic(data: Prepared, grid: str, parallelism: int) -> tuple[Model, DataFrame]:
     estimator = LogisticRegression(featuresCol="scaled", maxIter=50)
-    return _fit_and_test(
-        "LogisticRegression", features, estimator, GRIDS["logistic"][grid], key, True, parallelism
+    return _search("LogisticRegression", data, estimator, GRIDS["logistic"][grid], parallelism)
+
+
+def _forest(data: Prepared, grid: str, parallelism: int) -> tuple[Model, DataFrame]:
+    estimator = RandomForestClassifier(featuresCol="scaled", seed=TREE_SEED)
+    return _search("RandomForest", data, estimator, GRIDS["forest"][grid], parallelism)
+
+
+def _gbt(data: Prepared, grid: str, parallelism: int, iterations: int = 50) -> tuple[Model, DataFrame]:
+    estimator = GBTClassifier(featuresCol="scaled", maxIter=iterations, seed=TREE_SEED)
+    return _search("GradientBoostedTrees", data, estimator, GRIDS["gbt"][grid], parallelism)
+
+
+def _mlp(data: Prepared, grid: str, parallelism: int, width: int, scaled: bool = False) -> tuple[Model, DataFrame]:
+    estimator = MultilayerPerceptronClassifier(
+        featuresCol="scaled" if scaled else "features", layers=[width, 8, 5, 2], blockSize=128, maxIter=100,
+        seed=TREE_SEED,
     )
+    return _search("MultiLayerPerceptron", data, estimator, GRIDS["mlp"][grid], parallelism)
+
+
+def fit_logistic_cv(features: DataFrame, key: str | None = None, grid: str = "full", parallelism: int = 2) -> Fitted:
+    return _fitted(*_logistic(prepare(features, key), grid, parallelism))
 
 
 def fit_forest_cv(features: DataFrame, key: str | None = None, grid: str = "full", parallelism: int = 2) -> Fitted:
-    estimator = RandomForestClassifier(featuresCol="scaled", seed=TREE_SEED)
-    return _fit_and_test("RandomForest", features, estimator, GRIDS["forest"][grid], key, True, parallelism)
+    return _fitted(*_forest(prepare(features, key), grid, parallelism))
 
 
 def fit_gbt_cv(
     features: DataFrame, key: str | None = None, grid: str = "full", parallelism: int = 2, iterations: int = 50
 ) -> Fitted:
-    estimator = GBTClassifier(featuresCol="scaled", maxIter=iterations, seed=TREE_SEED)
-    return _fit_and_test("GradientBoostedTrees", features, estimator, GRIDS["gbt"][grid], key, True, parallelism)
+    return _fitted(*_gbt(prepare(features, key), grid, parallelism, iterations))
 
 
 def fit_mlp_cv(
@@ -173,28 +208,25 @@ def fit_mlp_cv(
     scaled: bool = False,
 ) -> Fitted:
     """A network with hidden layers of 8 and 5; it is fitted on unscaled features unless told otherwise."""
-    estimator = MultilayerPerceptronClassifier(
-        featuresCol="scaled" if scaled else "features", layers=[width, 8, 5, 2], blockSize=128, maxIter=100,
-        seed=TREE_SEED,
-    )
-    return _fit_and_test("MultiLayerPerceptron", features, estimator, GRIDS["mlp"][grid], key, scaled, parallelism)
+    return _fitted(*_mlp(prepare(features, key), grid, parallelism, width, scaled))
 
 
 def compare_models(
-    features: DataFrame, key: str | None = None, grid: str = "full", parallelism: int = 2, width: int = 12
+    features: DataFrame, key: str | None = None, grid: str = "full", parallelism: int = 2, width: int = 12,
+    iterations: int = 50,
 ) -> DataFrame:
-    """Metrics of all four classifiers on the same split."""
-    features = durable(features)
-    fitted = [
-        fit_logistic_cv(features, key, grid, parallelism),
-        fit_gbt_cv(features, key, grid, parallelism),
-        fit_mlp_cv(features, key, grid, parallelism, width),
-        fit_forest_cv(features, key, grid, parallelism),
+    """Metrics of all four classifiers, fitted and tested on the same rows."""
+    data = prepare(features, key)
+    tested = [
+        _logistic(data, grid, parallelism)[1],
+        _gbt(data, grid, parallelism, iterations)[1],
+        _mlp(data, grid, parallelism, width)[1],
+        _forest(data, grid, parallelism)[1],
     ]
-    result = fitted[0].metrics
-    for other in fitted[1:]:
-        result = result.unionByName(other.metrics)
-    return result
+    predictions = tested[0]
+    for other in tested[1:]:
+        predictions = predictions.unionByName(other)
+    return prediction_metrics(durable(predictions))
 
 
 # --- plain logistic regression -----------------------------------------------------------------------------------
@@ -254,8 +286,10 @@ def forest_report(features: DataFrame, key: str, trees: int = 100, train_share:
     """Metrics of the forest on a held-out split; features are scaled by the spread of the train rows."""
     train, test = train_test_split(features, key, train_share, 0)
     train, test = scale_unit_std(train, test)
-    predictions = durable(fit_forest(train, test, trees, "scaled").select("label", "prediction", "probability"))
-    return forest_metrics("RandomForest", predictions)
+    predictions = fit_forest(train, test, trees, "scaled").select(
+        F.lit("RandomForest").alias("model"), "label", "prediction", "probability"
+    )
+    return forest_metrics(durable(predictions))
 
 
 def _fold_metrics(folded: DataFrame, folds: int, trees: int, model_name: str) -> DataFrame:
@@ -268,8 +302,8 @@ def _fold_metrics(folded: DataFrame, folds: int, trees: int, model_name: str) ->
     predictions = tested[0]
     for other in tested[1:]:
         predictions = predictions.unionByName(other)
-    per_fold = forest_metrics(model_name, durable(predictions), by=["fold"])
-    return per_fold.groupBy("model", "metric").agg((F.sum("value") / folds).alias("value"))
+    per_fold = forest_metrics(durable(predictions), by=["fold"])
+    return per_fold.groupBy(F.lit(model_name).alias("model"), "metric").agg((F.sum("value") / folds).alias("value"))
 
 
 def kfold_metrics(features: DataFrame, key: str, folds: int = REPORT_FOLDS, trees: int = 100) -> DataFrame:
@@ -295,4 +329,5 @@ def metrics_by_window(features: DataFrame, key: str, window: str = "pred_hours",
     predictions = tested[0]
     for other in tested[1:]:
         predictions = predictions.unionByName(other)
-    return forest_metrics("RandomForest", durable(predictions), by=[window])
+    named = durable(predictions).withColumn("model", F.lit("RandomForest"))
+    return forest_metrics(named, by=["model", window])

@@ -13,6 +13,7 @@ from cohortspark.functions.columns import category_code, replace_sentinel
 from cohortspark.operators import features as feature_ops
 from cohortspark.operators import timeframe
 from cohortspark.operators.features import Rule
+from cohortspark.operators.joins import join_demographics
 from cohortspark.plans.feature_sets import FeatureSpec, feature_table, long_feature_table
 from cohortspark.plans.feature_sets import window_sweep as sweep
 from cohortspark.queries.registry import query, table
@@ -56,7 +57,7 @@ def stays(spark: SparkSession, folder: str) -> DataFrame:
 
 def described_stays(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal", "c_mktsegment")
-    return stays(spark, folder).join(customers, "user_id")
+    return join_demographics(stays(spark, folder), customers, "user_id")
 
 
 def index_frame(spark: SparkSession, folder: str) -> DataFrame:

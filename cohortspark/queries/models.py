@@ -21,22 +21,22 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def logistic_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_logistic_cv(vectors(spark, folder), KEY, "small").metrics
+    return models.fit_logistic_cv(vectors(spark, folder), KEY, "small", parallelism=4).metrics
 
 
 @query()
 def forest_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_forest_cv(vectors(spark, folder), KEY, "small").metrics
+    return models.fit_forest_cv(vectors(spark, folder), KEY, "small", parallelism=4).metrics
 
 
 @query()
 def gbt_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_gbt_cv(vectors(spark, folder), KEY, "small", iterations=5).metrics
+    return models.fit_gbt_cv(vectors(spark, folder), KEY, "small", parallelism=4, iterations=5).metrics
 
 
 @query()
 def mlp_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_mlp_cv(vectors(spark, folder), KEY, "small", width=len(FEATURE_COLUMNS)).metrics
+    return models.fit_mlp_cv(vectors(spark, folder), KEY, "small", parallelism=4, width=len(FEATURE_COLUMNS)).metrics
 
 
 @query()
@@ -72,5 +72,6 @@ def forest_by_window(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def compare_models(spark: SparkSession, folder: str) -> DataFrame:
-    compared = models.compare_models(vectors(spark, folder), KEY, "small", width=len(FEATURE_COLUMNS))
+    features = feature_vectors(feature_frame(spark, folder), SPEC)
+    compared = models.compare_models(features, KEY, "small", 4, len(FEATURE_COLUMNS), iterations=5)
     return report([compared], shared_folder(spark)).orderBy("model", F.col("metric"))

@@ -98,3 +98,34 @@ def test_dictionary_match_is_exact(spark, rows):
     words = spark.createDataFrame([("vancomycin",), ("van",)], "value string")
     assert rows(filters.filter_in_dictionary(drugs, "DRUG", words)) == [("Vancomycin",), ("van",)]
     assert rows(filters.filter_in_dictionary(drugs, "DRUG", words, salts=4)) == [("Vancomycin",), ("van",)]
+
+
+@pytest.fixture
+def eager_skew_splits(spark):
+    """Thresholds so low that adaptive execution splits partitions of a small test, and no broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "64",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    old = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in old.items():
+        spark.conf.set(name, value)
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_adaptive_execution_may_split_what_salts_leave(spark, eager_skew_splits):
+    """Also when the small side is an aggregate by the same key, whose partitioning a plain join would take over."""
+    hot = spark.range(0, 200000, 1, 24).select(F.lit(7).cast("long").alias("k"), F.col("id").alias("v"))
+    wide = hot.unionByName(spark.range(0, 2000, 1, 8).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("v")))
+    small = spark.range(0, 2000, 1, 4).groupBy(F.col("id").alias("k")).agg(F.max("id").alias("m"))
+    assert "skew=true" in executed(spread_join(wide, small, "k", "left", salts=2).select("v", "m"))
