@@ -74,7 +74,7 @@ def observation_window_join(
         first, last = F.floor((at - farthest) / width), F.floor((at - nearest) / width)
         sliced = events.withColumn("_slice", F.floor(F.unix_timestamp(time) / width))
         reached = index.withColumn("_slice", F.explode(F.sequence(first, last)))
-        joined = spread_join(sliced, reached, [entity, "_slice"], "inner", salts).drop("_slice")
+        joined = spread_join(sliced, reached, [entity, "_slice"], "inner", salts, [time]).drop("_slice")
 
     lead = seconds_before(index_time, time)
     joined = joined.where(lead.between(nearest, farthest))

@@ -2,10 +2,10 @@
 
 The left side is the big one throughout. When Spark's own size estimate puts the right side under the session's
 ``spark.sql.autoBroadcastJoinThreshold`` the join is written plainly and the planner broadcasts it. Otherwise both
-sides shuffle, and the key is extended by a salt: left rows take the number of their input partition modulo the
-number of salts, and the right side carries one copy of each row per salt. Rows of one key, exact copies
-included, then spread over that many tasks, and adaptive execution may split a task that is still too large. The
-salt depends only on the input partition, so a task that is run again sends each row to the same place.
+sides shuffle, and the key is extended by a salt: left rows draw it from the number of their input partition (and
+from columns named for it), and the right side carries one copy of each row per salt. Rows of one key, exact
+copies included, then spread over that many tasks, and adaptive execution may split a task that is still too
+large. Nothing random goes into the salt, so a task that is run again sends each row to the same place.
 """
 
 from __future__ import annotations
@@ -39,11 +39,17 @@ def fits_in_broadcast(df: DataFrame) -> bool:
 
 
 def spread_join(
-    big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int | None = None
+    big: DataFrame,
+    small: DataFrame,
+    on: str | Sequence[str],
+    how: str = "inner",
+    salts: int | None = None,
+    spread_by: Sequence[str] = (),
 ) -> DataFrame:
     """Join on equal keys; ``how`` is ``inner``, ``left`` or ``left_semi``.
 
-    ``salts=None`` decides by the size of ``small``, 1 never salts, a larger number always does.
+    ``salts=None`` decides by the size of ``small``, 1 never salts, a larger number always does. ``spread_by``
+    names columns that differ among rows of one key, for a left side that may already be partitioned by it.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"cannot spread a {how} join")
@@ -52,7 +58,8 @@ def spread_join(
         salts = 1 if fits_in_broadcast(small) else DEFAULT_SALTS
     if salts == 1:
         return big.join(small, keys, how)
-    salted = big.withColumn(_SALT, F.pmod(F.spark_partition_id(), F.lit(salts)))
+    drawn = F.xxhash64(F.spark_partition_id(), *spread_by)
+    salted = big.withColumn(_SALT, F.pmod(drawn, F.lit(salts)).cast("int"))
     copies = small.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, _SALT], how).drop(_SALT)
 

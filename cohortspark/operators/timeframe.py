@@ -66,7 +66,7 @@ def index_or_fallback(
     outs = stays.where(F.col(entity).isNotNull()).select(entity, F.col(fallback_time).alias("_fallback"))
     found = indexed.select(entity, F.col(index_time).alias("_index"))
     return (
-        spread_join(outs, found, entity, "left", salts)
+        spread_join(outs, found, entity, "left", salts, ["_fallback"])
         .select(
             entity,
             F.coalesce(F.col("_index"), F.col("_fallback").cast("timestamp")).alias(index_time),

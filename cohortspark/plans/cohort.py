@@ -20,8 +20,13 @@ from cohortspark.operators.filters import (
     filter_not_null,
 )
 from cohortspark.operators.joins import join_demographics, semi_join
+from cohortspark.operators.records import project_record
 from cohortspark.plans import fixed_values as fixed
 
+# Fields that the records share.
+PERSON = {"subjectID": ("SUBJECT_ID", "int"), "hadmID": ("HADM_ID", "int")}
+STAY = {"icustayID": ("ICUSTAY_ID", "int")}
+
 
 def build_cohort(
     patients: DataFrame,
@@ -38,16 +43,18 @@ def build_cohort(
     )
     persons = patients.select("SUBJECT_ID", "DOB", "DOD", "GENDER", "EXPIRE_FLAG")
     joined = filter_age_band(join_demographics(kept, persons, salts=salts), "INTIME", "DOB", low_age, high_age)
-    return joined.select(
-        F.col("SUBJECT_ID").cast("int").alias("subjectID"),
-        F.col("HADM_ID").cast("int").alias("hadmID"),
-        F.col("ICUSTAY_ID").cast("int").alias("icustayID"),
-        F.col("INTIME").cast("timestamp").alias("inTime"),
-        F.col("OUTTIME").cast("timestamp").alias("outTime"),
-        F.col("DOD").cast("timestamp").alias("dod"),
-        age_in_years("INTIME", "DOB").alias("age"),
-        F.col("GENDER").alias("gender"),
-        F.col("EXPIRE_FLAG").cast("int").alias("expired"),
+    return project_record(
+        joined,
+        {
+            **PERSON,
+            **STAY,
+            "inTime": ("INTIME", "timestamp"),
+            "outTime": ("OUTTIME", "timestamp"),
+            "dod": ("DOD", "timestamp"),
+            "age": (age_in_years("INTIME", "DOB"), "double"),
+            "gender": ("GENDER", "string"),
+            "expired": ("EXPIRE_FLAG", "int"),
+        },
     )
 
 
@@ -75,16 +82,18 @@ def clean_prescriptions(
         start, end = null_to_epoch("STARTDATE"), null_to_epoch("ENDDATE")
     else:
         kept = filter_not_null(kept, "STARTDATE")
-        start, end = F.col("STARTDATE").cast("timestamp"), F.col("ENDDATE").cast("timestamp")
-    return kept.select(
-        F.col("SUBJECT_ID").cast("int").alias("subjectID"),
-        F.col("HADM_ID").cast("int").alias("hadmID"),
-        F.col("ICUSTAY_ID").cast("int").alias("icustayID"),
-        start.alias("startDate"),
-        end.alias("endDate"),
-        F.col("DRUG").alias("drug"),
-        F.col("DOSE_VAL_RX").alias("value"),
-        F.col("DOSE_UNIT_RX").alias("unit"),
+        start, end = F.col("STARTDATE"), F.col("ENDDATE")
+    return project_record(
+        kept,
+        {
+            **PERSON,
+            **STAY,
+            "startDate": (start, "timestamp"),
+            "endDate": (end, "timestamp"),
+            "drug": ("DRUG", "string"),
+            "value": ("DOSE_VAL_RX", "string"),
+            "unit": ("DOSE_UNIT_RX", "string"),
+        },
     )
 
 
@@ -93,11 +102,7 @@ def clean_cultures(
 ) -> DataFrame:
     """Cultures of one specimen from persons of the cohort, at their time or else on their date."""
     kept = semi_join(filter_equals(microbiology, SPEC_ITEMID=specimen), cohort, "SUBJECT_ID", "subjectID", salts)
-    return kept.select(
-        F.col("SUBJECT_ID").cast("int").alias("subjectID"),
-        F.col("HADM_ID").cast("int").alias("hadmID"),
-        first_present("CHARTTIME", "CHARTDATE").cast("timestamp").alias("chartDate"),
-    )
+    return project_record(kept, {**PERSON, "chartDate": (first_present("CHARTTIME", "CHARTDATE"), "timestamp")})
 
 
 def clean_vitals(
@@ -106,11 +111,13 @@ def clean_vitals(
     """Numeric readings of the listed items, free of errors, within cohort stays."""
     readings = chart.select("SUBJECT_ID", "HADM_ID", "ICUSTAY_ID", "ITEMID", "CHARTTIME", "VALUENUM", "ERROR")
     readings = filter_in_list(filter_not_null(filter_equals(readings, ERROR=0), "VALUENUM"), "ITEMID", items)
-    return semi_join(readings, cohort, "ICUSTAY_ID", "icustayID", salts).select(
-        F.col("SUBJECT_ID").cast("int").alias("subjectID"),
-        F.col("HADM_ID").cast("int").alias("hadmID"),
-        F.col("ICUSTAY_ID").cast("int").alias("icustayID"),
-        F.col("ITEMID").cast("int").alias("itemID"),
-        F.col("CHARTTIME").cast("timestamp").alias("chartTime"),
-        F.col("VALUENUM").cast("double").alias("value"),
+    return project_record(
+        semi_join(readings, cohort, "ICUSTAY_ID", "icustayID", salts),
+        {
+            **PERSON,
+            **STAY,
+            "itemID": ("ITEMID", "int"),
+            "chartTime": ("CHARTTIME", "timestamp"),
+            "value": ("VALUENUM", "double"),
+        },
     )

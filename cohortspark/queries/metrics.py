@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.operators import evaluation, splits
+from cohortspark.operators import evaluation, records, splits
 from cohortspark.plans.models import scale_unit_std as scale
 from cohortspark.queries.events import INDEX_CTE, sweep_frame, wide_cte
 from cohortspark.queries.registry import query, table
@@ -47,11 +47,14 @@ COUNTS_CTE = f"""{SCORED_CTE},
 SCALED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@query(
+ORACLE_SCALE = (
     "SELECT l_orderkey, l_linenumber, l_partkey, "
     + ", ".join(f"round({c} / (SELECT stddev_samp({c}) FROM lineitem), 6) AS {c}" for c in SCALED)
     + " FROM lineitem"
 )
+
+
+@query(ORACLE_SCALE)
 def scale_unit_std(spark: SparkSession, folder: str) -> DataFrame:
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *SCALED)
     (scaled,) = scale(VectorAssembler(inputCols=list(SCALED), outputCol="features").transform(lines))
@@ -61,6 +64,13 @@ def scale_unit_std(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(ORACLE_SCALE)
+def scale_columns(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *SCALED)
+    scaled = records.scale_columns(lines, SCALED)
+    return scaled.withColumns({c: F.round(c, 6) for c in SCALED})
+
+
 @query(
     """
 SELECT o_orderkey,

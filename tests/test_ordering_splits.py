@@ -90,3 +90,12 @@ def test_split_depends_on_the_key_only(spark):
     assert train.count() == sum(one.values()) and train.count() + test.count() == 3000
     train, test = train_test_split(df, None)
     assert train.count() + test.count() == 3000
+
+
+def test_scaled_columns(spark, rows):
+    from cohortspark.operators.records import scale_columns
+
+    df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (None, None)], "a double, b double")
+    half = 2 ** -0.5
+    got = scale_columns(df, ["a", "b"]).collect()
+    assert [(r.a, r.b) for r in got] == [(pytest.approx(half), 0.0), (pytest.approx(3 * half), 0.0), (None, None)]
