@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.operators.ordering import running_totals
+from cohortspark.sources.checkpoints import durable
 
 
 def _ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
@@ -77,7 +78,8 @@ def threshold_counts(
 ) -> DataFrame:
     """Per distinct score: positives and negatives at it, and ``tp``/``fp`` counted from the highest score down.
 
-    Rows are reduced to one per score before anything is ordered.
+    Rows are reduced to one per score before anything is ordered. The reduced table is written once, because ordering
+    it reads it more than once and what comes before may be costly (the predictions of a model, for instance).
     """
     at_score = (
         df.where(F.col(score).isNotNull())
@@ -85,7 +87,7 @@ def threshold_counts(
         .agg(F.count_if(F.col(label) == 1).alias("positives"), F.count_if(F.col(label) != 1).alias("negatives"))
     )
     return running_totals(
-        at_score,
+        durable(at_score),
         "threshold",
         {"tp": F.col("positives"), "fp": F.col("negatives")},
         by=by,

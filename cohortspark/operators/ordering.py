@@ -31,10 +31,11 @@ def order_ranges(df: DataFrame, order: str, ranges: int | None = None, alias: st
         found = numeric.select("_order").approxQuantile("_order", shares, 1.0 / (4 * ranges))
         cuts = sorted({c for c in found if isfinite(c)})
     if not cuts:
-        return df.withColumn(alias, F.lit(0.0))
+        return df.withColumn(alias, F.lit(0))
     cutter = Bucketizer(splits=[-inf, *cuts, inf], inputCol="_order", outputCol=alias, handleInvalid="keep")
     # NaN gets a range after all numbers, NULL one before them: where Spark sorts them, too.
-    return cutter.transform(numeric).withColumn(alias, F.coalesce(F.col(alias), F.lit(-1.0))).drop("_order")
+    numbered = cutter.transform(numeric)
+    return numbered.withColumn(alias, F.coalesce(F.col(alias).cast("int"), F.lit(-1))).drop("_order")
 
 
 def running_totals(

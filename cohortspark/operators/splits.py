@@ -64,21 +64,24 @@ def stratified_kfold_assign(
     per range say how many rows come before it, and only one range at a time is sorted.
     """
     columns = df.columns
-    hashed = df.withColumn("_digest", key_digest(key, seed)).withColumn("_part", F.substring("_digest", 1, digits))
-    before = Window.partitionBy(label).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    hashed = df.withColumns(
+        {
+            # A label that is missing is a stratum of its own; keys without NULL let the join use the window's shuffle.
+            "_known": F.col(label).isNotNull(),
+            "_stratum": F.coalesce(F.col(label).cast("string"), F.lit("")),
+            "_digest": key_digest(key, seed),
+        }
+    ).withColumn("_part", F.substring("_digest", 1, digits))
+    strata = ["_known", "_stratum"]
+    before = Window.partitionBy(*strata).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        hashed.groupBy(label, "_part")
+        hashed.groupBy(*strata, "_part")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            F.col(label).alias("_of_label"),
-            F.col("_part").alias("_of_part"),
-            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
-        )
+        .select(*strata, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    inside = Window.partitionBy(label, "_part").orderBy("_digest", key)
+    inside = Window.partitionBy(*strata, "_part").orderBy("_digest", key)
     ranked = hashed.withColumn("_rank", F.row_number().over(inside))
-    same = F.col(label).eqNullSafe(F.col("_of_label")) & (F.col("_part") == F.col("_of_part"))
-    return ranked.join(starts, same, "inner").select(
+    return ranked.join(starts, [*strata, "_part"], "inner").select(
         *columns, ((F.col("_start") + F.col("_rank") - 1) % folds).cast("int").alias(alias)
     )
 

@@ -14,6 +14,7 @@ from cohortspark.operators import evaluation, records, splits
 from cohortspark.plans.models import scale_unit_std as scale
 from cohortspark.queries.events import INDEX_CTE, sweep_frame, wide_cte
 from cohortspark.queries.registry import query, table
+from cohortspark.sources import durable
 from cohortspark.sources import report_metrics as report
 
 THRESHOLD = 1000
@@ -189,7 +190,7 @@ SELECT 'score rule' AS model, pred_hours, metric, round(value, 6) AS value FROM
 
 def window_metrics(spark: SparkSession, folder: str) -> list[DataFrame]:
     """Metrics of the rule-based score as a classifier, per prediction window."""
-    swept = sweep_frame(spark, folder).withColumn("prediction", (F.col("score") >= 2).cast("double"))
+    swept = durable(sweep_frame(spark, folder)).withColumn("prediction", (F.col("score") >= 2).cast("double"))
     by = ["pred_hours"]
     counts = evaluation.threshold_counts(swept, by=by)
     hard = evaluation.metric_rows(evaluation.binary_metrics(swept, by=by), ["accuracy", "precision", "recall", "f1"], by)

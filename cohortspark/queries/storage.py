@@ -11,6 +11,7 @@ from cohortspark.queries.events import (
     FEATURE_COLUMNS,
     INDEX_CTE,
     SPEC,
+    SWEPT_HOURS,
     WIDE_SQL,
     feature_frame,
     sweep_frame,
@@ -24,9 +25,11 @@ from cohortspark.sources import (
     read_csv_table,
     read_dictionary_ids,
     read_dictionary_text,
+    read_feature_sets,
     read_libsvm,
     shared_folder,
     sweep_feature_sets,
+    write_feature_sets,
     write_libsvm,
 )
 
@@ -91,10 +94,9 @@ FROM wide GROUP BY 1
 )
 def feature_set_sweep(spark: SparkSession, folder: str) -> DataFrame:
     base = shared_folder(spark)
-    swept = feature_vectors(sweep_frame(spark, folder), SPEC).persist()
-    for hours in (1, 2, 4, 6, 8):
-        write_libsvm(swept.where(F.col("pred_hours") == hours), feature_set_path(base, 24, hours))
-    swept.unpersist()
+    write_feature_sets(feature_vectors(sweep_frame(spark, folder), SPEC), f"{base}/swept")
+    for hours in SWEPT_HOURS:
+        write_libsvm(read_feature_sets(spark, f"{base}/swept", hours), feature_set_path(base, 24, hours))
     sets = [
         df.withColumn("window_hours", F.lit(window))
         for window, df in sweep_feature_sets(spark, f"{base}/svmoutput24", len(FEATURE_COLUMNS))

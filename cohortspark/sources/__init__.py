@@ -1,12 +1,20 @@
 """Reading and writing: header CSV, dictionaries, parquet checkpoints, libsvm feature sets and metric reports."""
 
-from cohortspark.sources.checkpoints import checkpoint_or_reload, durable, read_parquet, shared_folder, write_parquet_checkpoint
+from cohortspark.sources.checkpoints import (
+    checkpoint_or_reload,
+    durable,
+    read_parquet,
+    shared_folder,
+    write_parquet_checkpoint,
+)
 from cohortspark.sources.tables import infer_table_name, read_csv_table, read_dictionary_ids, read_dictionary_text
 from cohortspark.sources.vectors import (
     feature_set_path,
+    read_feature_sets,
     read_libsvm,
     report_metrics,
     sweep_feature_sets,
+    write_feature_sets,
     write_libsvm,
 )
 
@@ -18,11 +26,13 @@ __all__ = [
     "read_csv_table",
     "read_dictionary_ids",
     "read_dictionary_text",
+    "read_feature_sets",
     "read_libsvm",
     "read_parquet",
     "report_metrics",
     "shared_folder",
     "sweep_feature_sets",
+    "write_feature_sets",
     "write_libsvm",
     "write_parquet_checkpoint",
 ]

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortspark.sources.checkpoints import child_folders, write_parquet_checkpoint
+from cohortspark.sources.checkpoints import child_folders, read_parquet, write_parquet_checkpoint
 
 
 def feature_set_path(base: str, obs_hours: int, pred_hours: int, agg: str = "latest") -> str:
@@ -28,6 +28,17 @@ def read_libsvm(spark: SparkSession, path: str, n_features: int = 12) -> DataFra
     return spark.read.format("libsvm").option("numFeatures", n_features).load(path)
 
 
+def write_feature_sets(df: DataFrame, path: str, window: str = "pred_hours") -> None:
+    """Write the feature sets of a sweep as one table with a partition per window."""
+    write_parquet_checkpoint(df, path, partition_by=window)
+
+
+def read_feature_sets(spark: SparkSession, path: str, hours: int | None = None, window: str = "pred_hours") -> DataFrame:
+    """The feature sets of a sweep, or one of them, of which only its partition is read."""
+    df = read_parquet(spark, path)
+    return df if hours is None else df.where(F.col(window) == hours)
+
+
 def sweep_feature_sets(spark: SparkSession, folder: str, n_features: int = 12) -> list[tuple[int, DataFrame]]:
     """The feature sets in the sub-folders, each with its window: the last number in the name of the folder."""
     found = [(int(re.findall(r"\d+", path)[-1]), path) for path in child_folders(spark, folder)]

@@ -9,10 +9,12 @@ from cohortspark.sources import (
     read_csv_table,
     read_dictionary_ids,
     read_dictionary_text,
+    read_feature_sets,
     read_libsvm,
     report_metrics,
     shared_folder,
     sweep_feature_sets,
+    write_feature_sets,
     write_libsvm,
 )
 from cohortspark.sources.checkpoints import path_exists
@@ -97,6 +99,17 @@ def test_libsvm_keeps_labels_and_values(spark, tmp_path):
     assert feature_set_path("x", 24, 2, "mean") == "x/svmoutput24/aggfeatures2hour"
 
 
+def test_feature_sets_of_a_sweep_are_read_by_partition(spark, tmp_path, rows):
+    path = str(tmp_path / "swept")
+    df = spark.createDataFrame([(1, 1, 0.5), (2, 8, 1.5)], "key int, pred_hours int, x double")
+    write_feature_sets(df, path)
+    assert rows(read_feature_sets(spark, path), "key") == [(1,), (2,)]
+    one = read_feature_sets(spark, path, 8)
+    assert rows(one, "key", "pred_hours", "x") == [(2, 8, 1.5)]
+    scan = one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1]
+    assert "pred_hours" in scan.split("]")[0]
+
+
 def test_reports_are_stacked_and_saved(spark, tmp_path, rows):
     part = spark.createDataFrame([("m", "auroc", 0.5)], "model string, metric string, value double")
     report_metrics([part, part], str(tmp_path / "report"))
