@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.operators.crowded import count_windows, wide_items_counted
 from cohortspark.operators.features import (
     Rule,
     assemble_vectors,
@@ -19,6 +20,11 @@ from cohortspark.operators.features import (
     wide_items,
     wide_score,
 )
+from cohortspark.operators.joins import semi_join
+from cohortspark.sources.checkpoints import durable
+
+# An entity with more index rows than this gets its windows counted.
+MANY_WINDOWS = 100
 
 
 @dataclass(frozen=True)
@@ -61,6 +67,7 @@ def feature_table(
     obs_hours: int = 24,
     agg: str = "latest",
     salts: int | None = None,
+    many_windows: int = MANY_WINDOWS,
 ) -> DataFrame:
     """One row per entity and label with its score, static attributes and items; NULL where an item is missing.
 
@@ -68,20 +75,32 @@ def feature_table(
     them, in a column ``pred_hours``, from one pass over the events.
 
     The events are reduced to wide rows in one aggregation and the score is an expression over these, so that
-    after the join with the index only reduced rows are shuffled.
+    after the join with the index only reduced rows are shuffled. Entities with more than ``many_windows`` index
+    rows are not joined at all: how many windows an event is in is counted instead, with the same result.
     """
+    index = durable(index)
     swept = [] if isinstance(pred_hours, int) else ["pred_hours"]
     keys = [spec.entity, spec.label, *swept]
     wanted = events.where(F.col(spec.item).isin(*spec.items)).select(
         *dict.fromkeys([spec.entity, spec.item, spec.value, spec.time, spec.tie_break])
     )
+    crowded = index.groupBy(spec.entity).count().where(F.col("count") > many_windows).select(spec.entity)
+    any_crowded = not crowded.isEmpty()
     windowed = observation_window_join(
-        wanted, index, entity=spec.entity, time=spec.time, index_time=spec.index_time, pred_hours=pred_hours,
-        obs_hours=obs_hours, salts=salts,
+        wanted, index.join(crowded, spec.entity, "left_anti") if any_crowded else index, entity=spec.entity,
+        time=spec.time, index_time=spec.index_time, pred_hours=pred_hours, obs_hours=obs_hours, salts=salts,
     )
     wide = wide_items(
         windowed, keys, spec.items, item=spec.item, value=spec.value, time=spec.time, tie_break=spec.tie_break, agg=agg
     )
+    if any_crowded:
+        counted = count_windows(
+            semi_join(wanted, crowded, spec.entity), semi_join(index, crowded, spec.entity), entity=spec.entity,
+            item=spec.item, value=spec.value, time=spec.time, tie_break=spec.tie_break, index_time=spec.index_time,
+            label=spec.label, pred_hours=[pred_hours] if isinstance(pred_hours, int) else sorted(set(pred_hours)),
+            obs_hours=obs_hours,
+        )
+        wide = wide.unionByName(wide_items_counted(counted, keys, spec.items, item=spec.item, agg=agg))
     scored = wide.withColumn(spec.score, wide_score(spec.rules, spec.items))
     if spec.static:
         static = dedupe_static(stays, spec.entity, spec.static_columns(), spec.stay_order)

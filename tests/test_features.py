@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from cohortspark.operators.crowded import count_windows
 from cohortspark.operators.features import (
     Rule,
     assemble_vectors,
@@ -193,6 +194,50 @@ def test_feature_table_layouts_agree(crowd, stays, rows, agg):
     assert {r.e: list(r.v) for r in arrays} == plain
 
 
+@pytest.mark.parametrize("agg", ["latest", "mean"])
+@pytest.mark.parametrize("pred_hours, obs_hours", [(2, 10), (0, 0), ([0, 1, 7], 5)])
+@pytest.mark.parametrize("many_windows", [0, 3])
+def test_counted_windows_equal_joined_ones(crowd, stays, rows, agg, pred_hours, obs_hours, many_windows):
+    """All entities counted, and only the one with several index rows."""
+    events, index, _, _ = crowd
+    joined = feature_table(index, events, stays, SPEC, pred_hours, obs_hours, agg)
+    counted = feature_table(index, events, stays, SPEC, pred_hours, obs_hours, agg, many_windows=many_windows)
+    if agg == "mean":
+        names = [F.round(c, 9).alias(c) if c.startswith("item") else F.col(c) for c in joined.columns]
+        joined, counted = joined.select(*names), counted.select(*names)
+    assert joined.columns == counted.columns
+    assert rows(joined) == rows(counted)
+
+
+def test_counting_emits_no_pairs(spark):
+    """One entity with 2,000 windows and 2,000 events: the plan joins no event with an index row."""
+    events = spark.range(2000).select(
+        "id", F.lit(1).cast("long").alias("e"), F.lit("a").alias("item"),
+        F.timestamp_seconds(F.lit(1_600_000_000) + F.col("id") % 700).alias("t"), (F.col("id") % 10).cast("double").alias("value"),
+    )
+    index = spark.range(2000).select(
+        F.lit(1).cast("long").alias("e"), F.timestamp_seconds(F.lit(1_600_003_600) + F.col("id") % 900).alias("index_time"),
+        (F.col("id") % 2).cast("int").alias("label"),
+    )
+    counted = count_windows(
+        events, index, entity="e", item="item", value="value", time="t", tie_break="id", index_time="index_time",
+        label="label", pred_hours=[1], obs_hours=1,
+    )
+    assert "Join" not in counted._jdf.queryExecution().executedPlan().toString()
+    index_seconds = [(1_600_003_600 + i % 900, i % 2) for i in range(2000)]
+    expected = {}
+    for second in range(1_600_000_000, 1_600_000_700):
+        for label in (0, 1):
+            inside = sum(1 for s, y in index_seconds if y == label and 3600 <= s - second <= 7200)
+            if inside:
+                expected[second, label] = inside
+    got = counted.collect()
+    assert {(r._at, r.label): r._windows for r in got} == expected
+    assert sum(r._n for r in got if r.label == 0) == sum(
+        1 for i in range(2000) if (1_600_000_000 + i % 700, 0) in expected
+    )
+
+
 def test_sweep_of_feature_tables(crowd, stays, rows):
     events, index, _, _ = crowd
     swept = window_sweep(index, events, stays, SPEC, (2, 4), 10)
