@@ -46,12 +46,12 @@ def spread_join(
     salts: int | None = None,
     spread_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Join on equal keys; ``how`` is ``inner``, ``left`` or ``left_semi``.
+    """Join on equal keys; ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.
 
     ``salts=None`` decides by the size of ``small``, 1 never salts, a larger number always does. ``spread_by``
     names columns that differ among rows of one key, for a left side that may already be partitioned by it.
     """
-    if how not in ("inner", "left", "left_semi"):
+    if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"cannot spread a {how} join")
     keys = [on] if isinstance(on, str) else list(on)
     if salts is None:

@@ -20,7 +20,7 @@ from cohortspark.operators.features import (
     wide_items,
     wide_score,
 )
-from cohortspark.operators.joins import semi_join
+from cohortspark.operators.joins import semi_join, spread_join
 from cohortspark.sources.checkpoints import durable
 
 # An entity with more index rows than this gets its windows counted.
@@ -86,9 +86,10 @@ def feature_table(
     )
     crowded = index.groupBy(spec.entity).count().where(F.col("count") > many_windows).select(spec.entity)
     any_crowded = not crowded.isEmpty()
+    joinable = spread_join(index, crowded, spec.entity, "left_anti") if any_crowded else index
     windowed = observation_window_join(
-        wanted, index.join(crowded, spec.entity, "left_anti") if any_crowded else index, entity=spec.entity,
-        time=spec.time, index_time=spec.index_time, pred_hours=pred_hours, obs_hours=obs_hours, salts=salts,
+        wanted, joinable, entity=spec.entity, time=spec.time, index_time=spec.index_time, pred_hours=pred_hours,
+        obs_hours=obs_hours, salts=salts,
     )
     wide = wide_items(
         windowed, keys, spec.items, item=spec.item, value=spec.value, time=spec.time, tie_break=spec.tie_break, agg=agg

@@ -14,7 +14,7 @@ from cohortspark.operators import features as feature_ops
 from cohortspark.operators import timeframe
 from cohortspark.operators.features import Rule
 from cohortspark.operators.joins import join_demographics
-from cohortspark.plans.feature_sets import FeatureSpec, feature_table, long_feature_table
+from cohortspark.plans.feature_sets import MANY_WINDOWS, FeatureSpec, feature_table, long_feature_table
 from cohortspark.plans.feature_sets import window_sweep as sweep
 from cohortspark.queries.registry import query, table
 
@@ -89,9 +89,16 @@ def mean_frame(spark: SparkSession, folder: str) -> DataFrame:
     return feature_ops.mean_per_item(windowed_frame(spark, folder), KEYS, "event_type", "value")
 
 
-def feature_frame(spark: SparkSession, folder: str, agg: str = "latest") -> DataFrame:
+def feature_frame(
+    spark: SparkSession, folder: str, agg: str = "latest", many_windows: int = MANY_WINDOWS
+) -> DataFrame:
     return feature_table(
-        index_frame(spark, folder), table(spark, folder, "events"), described_stays(spark, folder), SPEC, agg=agg
+        index_frame(spark, folder),
+        table(spark, folder, "events"),
+        described_stays(spark, folder),
+        SPEC,
+        agg=agg,
+        many_windows=many_windows,
     )
 
 
@@ -334,17 +341,32 @@ def pivoted_features(spark: SparkSession, folder: str) -> DataFrame:
     return feature_ops.pivot_items(long_frame(spark, folder), KEYS, SPEC.feature_items(), "event_type", "value")
 
 
-@query(
-    f"""
+@query(WIDE_SQL)
+def wide_features_counted(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with the windows of every entity counted instead of joined."""
+    return filled(feature_frame(spark, folder, many_windows=0))
+
+
+WIDE_MEAN_SQL = f"""
 {INDEX_CTE}, {wide_cte('mean')}
 SELECT user_id, label, {rounded(FEATURE_COLUMNS)} FROM wide
 """
-)
-def wide_mean_features(spark: SparkSession, folder: str) -> DataFrame:
-    wide = filled(feature_frame(spark, folder, "mean"))
+
+
+def rounded_frame(wide: DataFrame) -> DataFrame:
     return wide.select(*KEYS, *[F.round(c, 6).alias(c) for c in FEATURE_COLUMNS])
 
 
+@query(WIDE_MEAN_SQL)
+def wide_mean_features(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded_frame(filled(feature_frame(spark, folder, "mean")))
+
+
+@query(WIDE_MEAN_SQL)
+def wide_mean_features_counted(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded_frame(filled(feature_frame(spark, folder, "mean", many_windows=0)))
+
+
 @query(
     f"""
 {INDEX_CTE}, {wide_cte('latest', swept=True)}

@@ -15,7 +15,7 @@ def skewed(spark):
     return hot.unionByName(rest).withColumn("null_k", F.when(F.col("k") != 3, F.col("k")))
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_plain_join(spark, skewed, rows, how):
     small = spark.range(0, 900, 3).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
     plain = spread_join(skewed, small, "k", how, salts=1)
