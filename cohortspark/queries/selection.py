@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark import functions
 from cohortspark.functions import (
     age_in_years,
     apply_threshold,
-    category_code,
     first_present,
     null_to_epoch,
     parse_number,
@@ -185,11 +185,11 @@ SELECT c_custkey, CASE WHEN nullif(c_mktsegment, 'MACHINERY') = 'HOUSEHOLD' THEN
 FROM customer
 """
 )
-def category_codes(spark: SparkSession, folder: str) -> DataFrame:
+def category_code(spark: SparkSession, folder: str) -> DataFrame:
     segments = table(spark, folder, "customer").select(
         "c_custkey", F.nullif("c_mktsegment", F.lit("MACHINERY")).alias("segment")
     )
-    return segments.select("c_custkey", category_code("segment", "HOUSEHOLD").alias("code"))
+    return segments.select("c_custkey", functions.category_code("segment", "HOUSEHOLD").alias("code"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size = 30 THEN 90.0::DOUBLE ELSE p_size::DOUBLE END AS age FROM part")

@@ -42,6 +42,8 @@ def distinct_lower(df: DataFrame, column: str, alias: str = "value") -> DataFram
     return df.select(F.lower(F.col(column)).alias(alias)).distinct()
 
 
-def read_dictionary_ids(spark: SparkSession, path: str, column: str = "itemid", schema: str = "itemid INT, label STRING") -> DataFrame:
+def read_dictionary_ids(
+    spark: SparkSession, path: str, column: str = "itemid", schema: str = "itemid INT, label STRING"
+) -> DataFrame:
     """The distinct ids of a dictionary file."""
     return read_csv_table(spark, path, schema).select(column).distinct()
