@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,17 @@ def with_columns(docs: DataFrame, **columns: Column) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in names], *[c.alias(n) for n, c in columns.items()])
 
 
+_MADE: dict = {}
+
+
+def once(sent: Broadcast, make: Callable):
+    """What is made of a broadcast value, once in each worker process as long as it works with that value."""
+    value = sent.value
+    if _MADE.get("of") is not value:
+        _MADE.update(of=value, made=make(value))
+    return _MADE["made"]
+
+
 def slices(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
     """Slices of a column of texts, of at most so many bytes unless a single text is larger."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
