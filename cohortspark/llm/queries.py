@@ -1,6 +1,6 @@
 """Every operator of this subpackage as a query over the given tables."""
 
 from cohortspark.llm.registry import ORACLES, QUERIES
-from cohortspark.llm import byte_codec, line_dedup, mixing, token_counts  # noqa: F401  (register)
+from cohortspark.llm import byte_codec, line_dedup, mixing, token_counts, toxicity  # noqa: F401  (register)
 
 __all__ = ["ORACLES", "QUERIES"]
