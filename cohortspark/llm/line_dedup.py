@@ -38,7 +38,8 @@ def dropped_positions(docs: DataFrame, min_chars: int, min_docs: int) -> DataFra
         keys.where(F.char_length("key") >= min_chars).select("id", "digest", "pos", F.unhex(F.md5("key")).alias("hash"))
     )
     counted = keys.select("hash", "id").distinct().groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("keeper"))
-    shared = counted.where(F.col("n") >= min_docs).select("hash", "keeper")
+    # stored, so that both sides of the join come straight from a shuffle and a hot hash can be split
+    shared = durable(counted.where(F.col("n") >= min_docs).select("hash", "keeper"))
     gone = keys.join(shared, "hash").where(F.col("id") != F.col("keeper"))
     return gone.groupBy("id", "digest").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 
