@@ -45,7 +45,7 @@ from cohortspark.sources.checkpoints import durable
 SIMILAR = 75
 
 #: Shingles of a bucket, shingles that a task gathers before it sends them, documents of a task that make a shingle frequent.
-BUCKET, GATHERED, FREQUENT = 1_000_000, 4_000_000, 256
+BUCKET, GATHERED, FREQUENT = 1_000_000, 1_000_000, 64
 
 #: List lengths are told apart up to here; longer lists are long ones.
 LONG = 64
@@ -62,7 +62,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
     """Batches with an offset and the shingle sets of the rows from there."""
     for batch in batches:
         done = 0
-        for part in slices(batch.column("text")):
+        for part in slices(batch.column("text"), 1 << 20):
             yield batch, done, list(shingle_sets([t.encode() for t in part.to_pylist()]))
             done += len(part)
 

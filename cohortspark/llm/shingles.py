@@ -10,7 +10,7 @@ import numpy as np
 WORDS_PER_SHINGLE = 5
 
 #: Bytes hashed at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
