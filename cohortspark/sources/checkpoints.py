@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session may go without that setting; it gets a temporary folder.
+    Without that setting it is below the session's warehouse, which all executors share as well.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if base is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="cohortspark-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/cohortspark-{uuid.uuid4().hex}"
 
 
@@ -48,6 +46,20 @@ def write_parquet_checkpoint(df: DataFrame, path: str, partition_by: str | None
     writer.parquet(path)
 
 
+PUBLISHED = "_published"
+
+
+def published_run(spark: SparkSession, path: str, names: Iterable[str]) -> str | None:
+    """The folder below ``path`` of the last run that was finished and holds all these tables."""
+    try:
+        runs = spark.read.schema("run STRING, at TIMESTAMP, tables ARRAY<STRING>").parquet(f"{path}/{PUBLISHED}")
+        whole = runs.where(F.size(F.array_except(F.array(*map(F.lit, names)), "tables")) == 0)
+        last = whole.orderBy(F.col("at").desc(), F.col("run").desc()).select("run").first()
+    except AnalysisException:  # nothing has been published here
+        return None
+    return last and last[0]
+
+
 def checkpoint_or_reload(
     spark: SparkSession,
     path: str,
@@ -56,15 +68,22 @@ def checkpoint_or_reload(
 ) -> dict[str, DataFrame]:
     """Tables saved below ``path``; they are built and saved first when asked to, or when any of them is missing.
 
-    ``build`` gives for each table, in order, a function of the tables saved before it. A table counts as saved
-    once Spark has marked its write as complete, so an interrupted run is built again.
+    ``build`` gives for each table, in order, a function of the tables saved before it. Every run writes into a folder
+    of its own and is published by one small row when its last table is written. So a run that was interrupted is
+    never read, and tables of different runs are never mixed. Folders of earlier runs stay until the owner removes them.
     """
-    complete = all(path_exists(spark, f"{path}/{name}/_SUCCESS") for name in build)
+    run = None if reload else published_run(spark, path, build)
     saved: dict[str, DataFrame] = {}
+    if run is not None:
+        return {name: read_parquet(spark, f"{path}/{run}/{name}") for name in build}
+    run = f"run-{uuid.uuid4().hex}"
     for name, step in build.items():
-        if reload or not complete:
-            write_parquet_checkpoint(step(saved), f"{path}/{name}")
-        saved[name] = read_parquet(spark, f"{path}/{name}")
+        write_parquet_checkpoint(step(saved), f"{path}/{run}/{name}")
+        saved[name] = read_parquet(spark, f"{path}/{run}/{name}")
+    row = spark.range(1).select(
+        F.lit(run).alias("run"), F.current_timestamp().alias("at"), F.array(*map(F.lit, build)).alias("tables")
+    )
+    row.write.mode("append").parquet(f"{path}/{PUBLISHED}")
     return saved
 
 

@@ -73,6 +73,30 @@ def test_checkpoint_is_built_once_and_again_on_demand(spark, rows):
     assert len(built) == 4
 
 
+def test_tables_of_different_runs_are_never_mixed(spark, rows):
+    path = shared_folder(spark)
+
+    def steps(n, fails=False):
+        def second(done):
+            if fails:
+                raise RuntimeError("interrupted")
+            return spark.range(n)
+
+        return {"a": lambda done: spark.range(n), "b": second}
+
+    with pytest.raises(RuntimeError):
+        checkpoint_or_reload(spark, path, steps(1, fails=True))
+    checkpoint_or_reload(spark, path, steps(2))
+    with pytest.raises(RuntimeError):
+        checkpoint_or_reload(spark, path, steps(3, fails=True), reload=True)
+    kept = checkpoint_or_reload(spark, path, steps(4))
+    assert kept["a"].count() == kept["b"].count() == 2
+    new = checkpoint_or_reload(spark, path, steps(5), reload=True)
+    assert new["a"].count() == new["b"].count() == 5
+    more = {**steps(6), "c": lambda done: spark.range(6)}
+    assert checkpoint_or_reload(spark, path, more)["a"].count() == 6
+
+
 def test_durable_tables_live_in_the_shared_folder(spark, rows):
     df = durable(spark.range(4).repartition(3))
     assert rows(df) == [(0,), (1,), (2,), (3,)]
