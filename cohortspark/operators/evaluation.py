@@ -98,13 +98,22 @@ def threshold_counts(
 
 
 def roc_points(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(threshold, fpr, tpr)`` from :func:`threshold_counts`."""
-    return counts.select(
+    """``(threshold, fpr, tpr)`` from :func:`threshold_counts`, starting at the origin with an infinite threshold."""
+    points = counts.select(
         *by,
-        "threshold",
+        F.col("threshold").cast("double").alias("threshold"),
         _ratio(F.col("fp"), F.col("total_fp")).alias("fpr"),
         _ratio(F.col("tp"), F.col("total_tp")).alias("tpr"),
     )
+    return points.unionByName(_end_point(counts, by, fpr=0.0, tpr=0.0))
+
+
+def _end_point(counts: DataFrame, by: Sequence[str], **values: float) -> DataFrame:
+    """The point that no row is above, for each group that has rows."""
+    groups = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where("_n > 0")
+    return groups.select(
+        *by, F.lit(float("inf")).alias("threshold"), *[F.lit(v).alias(name) for name, v in values.items()]
+    )
 
 
 def _precision(tp: Column, fp: Column) -> Column:
@@ -112,13 +121,14 @@ def _precision(tp: Column, fp: Column) -> Column:
 
 
 def pr_points(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``(threshold, recall, precision)`` from :func:`threshold_counts`."""
-    return counts.select(
+    """``(threshold, recall, precision)`` from :func:`threshold_counts`, ending at recall 0 with precision 1."""
+    points = counts.select(
         *by,
-        "threshold",
+        F.col("threshold").cast("double").alias("threshold"),
         _ratio(F.col("tp"), F.col("total_tp")).alias("recall"),
         _precision(F.col("tp"), F.col("fp")).alias("precision"),
     )
+    return points.unionByName(_end_point(counts, by, recall=0.0, precision=1.0))
 
 
 def f_measure_points(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

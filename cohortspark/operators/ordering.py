@@ -12,6 +12,9 @@ from math import inf, isfinite
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
+
+from cohortspark.sources.checkpoints import durable
 
 _RANGE = "_range"
 
@@ -21,9 +24,12 @@ def order_ranges(df: DataFrame, order: str, ranges: int | None = None, alias: st
 
     The quantiles are found by one job that brings ``ranges`` numbers to the driver; from then on they are
     constants, so that a task that runs again puts its rows into the same range. Equal values share a range.
+    Text has no quantiles: Spark deals it out by ranges, and the rows are stored with the number of theirs.
     """
     if ranges is None:
         ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if isinstance(df.schema[order].dataType, StringType | BinaryType):
+        return durable(df.repartitionByRange(ranges, F.col(order).asc()).withColumn(alias, F.spark_partition_id()))
     numeric = df.withColumn("_order", F.col(order).cast("double"))
     cuts: list[float] = []
     if ranges > 1:
@@ -48,7 +54,7 @@ def running_totals(
     ranges: int | None = None,
     totals: bool = False,
 ) -> DataFrame:
-    """Add running sums in the order of one numeric, date or time column, unique within ``by``.
+    """Add running sums in the order of one numeric, date, time or text column, unique within ``by``.
 
     ``sums`` maps the name of a running sum to the expression summed. With ``totals``, columns ``total_<name>``
     carry the sum over all rows.

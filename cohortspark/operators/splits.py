@@ -16,8 +16,8 @@ _HASH_SPACE = 1 << 32
 
 
 def key_digest(key: str, seed: int) -> Column:
-    """MD5 of seed and key, as 32 hexadecimal digits."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """MD5 of seed and key, as 32 hexadecimal digits. A missing key has a digest of its own."""
+    return F.md5(F.concat(F.lit(f"{seed}"), F.coalesce(F.concat(F.lit(":"), F.col(key).cast("string")), F.lit(" NULL"))))
 
 
 def key_bucket(key: str, seed: int) -> Column:

@@ -100,6 +100,40 @@ def stratified_kfold_assign(spark: SparkSession, folder: str) -> DataFrame:
     return splits.stratified_kfold_assign(orders, "o_orderkey", "o_orderstatus")
 
 
+@query(
+    """
+SELECT o_orderkey, CAST(('0x' || substr(md5('11' || coalesce(':' || nullif(o_orderstatus, 'F') || o_custkey, ' NULL')), 1, 8))::BIGINT
+  < floor(0.67 * 4294967296)::BIGINT AS INT) AS is_train
+FROM orders
+"""
+)
+def hash_split_missing_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """A text key that many rows lack: these rows share a side instead of being lost."""
+    key = F.concat(F.nullif("o_orderstatus", F.lit("F")), F.col("o_custkey").cast("string"))
+    orders = table(spark, folder, "orders").select("o_orderkey", key.alias("k"))
+    return splits.assign_split(orders, "k").select("o_orderkey", "is_train")
+
+
+@query("SELECT k, CAST(ntile(5) OVER (ORDER BY k) - 1 AS INT) AS fold FROM (SELECT 'key ' || o_orderkey AS k FROM orders)")
+def kfold_assign_text(spark: SparkSession, folder: str) -> DataFrame:
+    keys = table(spark, folder, "orders").select(F.concat(F.lit("key "), F.col("o_orderkey").cast("string")).alias("k"))
+    return splits.kfold_assign(keys, "k")
+
+
+@query(
+    """
+SELECT o_orderpriority, fold, count(*) AS n_rows
+FROM (SELECT o_orderpriority, CAST((row_number() OVER (PARTITION BY o_orderpriority) - 1) % 5 AS INT) AS fold FROM orders)
+GROUP BY 1, 2
+"""
+)
+def stratified_folds_missing_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a key stay, and folds of a stratum differ by one row at most."""
+    key = F.nullif(F.col("o_orderkey") % 50, F.lit(0))
+    orders = table(spark, folder, "orders").select("o_orderpriority", key.alias("k"))
+    return splits.fold_sizes(splits.stratified_kfold_assign(orders, "k", "o_orderpriority"), ["o_orderpriority", "fold"])
+
+
 # --- metrics -----------------------------------------------------------------------------------------------------
 
 
@@ -133,13 +167,19 @@ def weighted_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.select(*[F.round(c, 6).alias(c) for c in metrics.columns])
 
 
-@query(f"{COUNTS_CTE} SELECT threshold, round(fp / n, 9) AS fpr, round(tp / p, 9) AS tpr FROM c")
+@query(
+    f"""{COUNTS_CTE} SELECT threshold, round(fp / n, 9) AS fpr, round(tp / p, 9) AS tpr FROM c
+UNION ALL SELECT 'infinity'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE"""
+)
 def roc_points(spark: SparkSession, folder: str) -> DataFrame:
     points = evaluation.roc_points(counts_frame(spark, folder))
     return points.select("threshold", F.round("fpr", 9).alias("fpr"), F.round("tpr", 9).alias("tpr"))
 
 
-@query(f"{COUNTS_CTE} SELECT threshold, round(tp / p, 9) AS recall, round(tp / (tp + fp), 9) AS precision FROM c")
+@query(
+    f"""{COUNTS_CTE} SELECT threshold, round(tp / p, 9) AS recall, round(tp / (tp + fp), 9) AS precision FROM c
+UNION ALL SELECT 'infinity'::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE"""
+)
 def pr_points(spark: SparkSession, folder: str) -> DataFrame:
     points = evaluation.pr_points(counts_frame(spark, folder))
     return points.select("threshold", F.round("recall", 9).alias("recall"), F.round("precision", 9).alias("precision"))

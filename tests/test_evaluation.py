@@ -45,6 +45,7 @@ def test_curves(scored):
         assert roc[cut] == pytest.approx((fpr, tpr))
         assert pr[cut] == pytest.approx((tpr, precision))
         assert f[cut] == pytest.approx(measure)
+    assert roc.pop(float("inf")) == (0.0, 0.0) and pr.pop(float("inf")) == (0.0, 1.0)
     assert len(roc) == len(pr) == len(expected)
     best = best_f_threshold(counts).head()
     top = max(m for *_, m in expected.values())

@@ -81,6 +81,21 @@ def test_stratified_folds(spark):
     assert max(r.n_rows for r in per_label) - min(r.n_rows for r in per_label) <= 1
 
 
+def test_rows_without_key_stay(spark):
+    df = spark.createDataFrame([(1, 0), (None, 0), (None, 1), (2, None), (3, 1)], "k long, label int")
+    train, test = train_test_split(df, "k")
+    assert train.count() + test.count() == 5
+    assert stratified_kfold_assign(df, "k", "label", 2).count() == 5
+
+
+def test_folds_of_text_keys(spark):
+    keys = sorted(f"{w}{i}" for w in ("a", "é", "Z", "") for i in range(25))
+    df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5)
+    got = sorted((r.k, r.fold) for r in kfold_assign(df, "k", 7, ranges=4).collect())
+    sizes = [len(keys) // 7 + (1 if f < len(keys) % 7 else 0) for f in range(7)]
+    assert got == list(zip(keys, [f for f in range(7) for _ in range(sizes[f])]))
+
+
 def test_split_depends_on_the_key_only(spark):
     df = spark.range(0, 3000).withColumnRenamed("id", "k")
     one = {r.k: r.is_train for r in assign_split(df, "k").collect()}
