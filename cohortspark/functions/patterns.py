@@ -24,11 +24,15 @@ def like_any(c: ColumnOrName, patterns: Sequence[str], lower: bool = True) -> Co
     With ``lower`` the column is lower-cased first; the patterns are taken as they are, so one with a capital
     letter then never matches. A NULL column gives NULL, which a filter drops.
     """
-    text = F.lower(column(c)) if lower else column(c)
     distinct = list(dict.fromkeys(patterns))
     if not distinct:
         return F.lit(False)
-    return _combine([text.like(p) for p in distinct], lambda a, b: a | b)
+
+    def matches(text: Column) -> Column:
+        return _combine([text.like(p) for p in distinct], lambda a, b: a | b)
+
+    # An array of one element, so that the text is lower-cased once and not for each pattern.
+    return F.exists(F.array(F.lower(column(c))), matches) if lower else matches(column(c))
 
 
 def not_like_any(c: ColumnOrName, patterns: Sequence[str], lower: bool = True) -> Column:

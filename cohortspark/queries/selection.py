@@ -213,3 +213,15 @@ UNION ALL SELECT 'documents', count(*) FROM documents
 )
 def table_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tables(**{name: table(spark, folder, name) for name in ("orders", "lineitem", "events", "documents")})
+
+
+@query(
+    """
+SELECT event_id, try_strptime(CASE WHEN event_type = 'error' THEN 'none' ELSE strftime(ts, '%d/%m/%Y %H:%M:%S') END,
+  '%d/%m/%Y %H:%M:%S') AS at_time FROM events
+"""
+)
+def parse_time(spark: SparkSession, folder: str) -> DataFrame:
+    shown = F.when(F.col("event_type") == "error", F.lit("none")).otherwise(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
+    events = table(spark, folder, "events").select("event_id", shown.alias("shown"))
+    return events.select("event_id", functions.to_time("shown", "dd/MM/yyyy HH:mm:ss").cast("timestamp_ntz").alias("at_time"))

@@ -102,6 +102,8 @@ def test_patterns(spark):
     assert [r[0] for r in df.where(not_like_any("d", patterns)).collect()] == ["Imipenem", "cefixime"]
     assert [r[0] for r in df.where(like_any("d", ["%Imi%"], lower=False)).collect()] == ["Imipenem"]
     assert df.where(like_any("d", [])).count() == 0
+    plan = df.where(like_any("d", patterns))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
 
 
 def test_long_pattern_lists_plan_as_substring_searches(spark):
