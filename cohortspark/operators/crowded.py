@@ -5,7 +5,7 @@ are in the same windows, and it is enough to know how many windows each such sec
 is in the windows whose index lies in a closed range of ``span`` seconds that starts at ``t`` plus the gap. Cut time
 into slices of ``span`` seconds: the range covers the end of one slice, from some offset on, and the next slice up to
 just before the same offset. Both parts follow from running counts of index rows inside a slice, so no slice needs
-more rows in a task than it has seconds, times items and steps of the sweep.
+more rows in a task than it has seconds, times items, labels and steps of the sweep.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortspark.operators.features import time_order
+
 
 def count_windows(
     events: DataFrame,
@@ -33,62 +35,52 @@ def count_windows(
 ) -> DataFrame:
     """Per entity, item, second and prediction gap: its readings in brief, and the number of windows per label.
 
-    Columns: entity, item, ``_at`` (the second), ``pred_hours``, label (0 or 1), ``_windows``, ``_sum`` and ``_n`` of
-    the readings and the ``_latest`` of them. Seconds in no window are left out.
+    Columns: entity, item, ``_at`` (the second), ``pred_hours``, label, ``_windows``, ``_sum`` and ``_n`` of the
+    readings and the ``_latest`` of them. A label is any value that index rows of the entity have, NULL included; each
+    is counted by itself. Seconds in no window are left out.
     """
     span = obs_hours * 3600 + 1
     readings = events.groupBy(entity, item, F.unix_timestamp(time).alias("_at")).agg(
         F.sum(value).alias("_sum"),
         F.count(value).alias("_n"),
-        F.max_by(value, F.struct(time, tie_break)).alias("_latest"),
+        F.max_by(value, time_order(events, time, tie_break)).alias("_latest"),
     )
     gaps = F.explode(F.array(*[F.lit(hours) for hours in pred_hours])).alias("pred_hours")
     begin = F.col("_at") + F.col("pred_hours") * F.lit(3600)
-    zero = F.lit(0).cast("bigint")
+    labels = index.select(entity, label).distinct()
     asked = (
-        readings.select("*", gaps)
+        readings.join(labels, entity)
+        .select("*", gaps)
         .withColumns({"_slice": F.floor(begin / span), "_offset": F.pmod(begin, F.lit(span))})
         .select(
-            entity, item, "_at", "pred_hours", "_sum", "_n", "_latest", "_offset",
+            entity, label, item, "_at", "pred_hours", "_sum", "_n", "_latest", "_offset",
             F.inline(
                 F.array(
                     F.struct(F.col("_slice"), F.lit(True).alias("_to_end")),
                     F.struct((F.col("_slice") + 1).alias("_slice"), F.lit(False).alias("_to_end")),
                 )
             ),
-            zero.alias("_controls"), zero.alias("_cases"),
+            F.lit(0).cast("bigint").alias("_index_rows"),
         )
     )
     at_index = F.unix_timestamp(index_time)
     counted = index.groupBy(
-        entity, F.floor(at_index / span).alias("_slice"), F.pmod(at_index, F.lit(span)).alias("_offset")
-    ).agg(F.count_if(F.col(label) == 0).alias("_controls"), F.count_if(F.col(label) == 1).alias("_cases"))
+        entity, label, F.floor(at_index / span).alias("_slice"), F.pmod(at_index, F.lit(span)).alias("_offset")
+    ).agg(F.count(F.lit(1)).alias("_index_rows"))
 
     # A question stands before the index rows at its own offset and so counts those at smaller offsets.
     both = asked.unionByName(counted, allowMissingColumns=True).withColumn("_is_index", F.col("_at").isNull())
-    in_slice = Window.partitionBy(entity, "_slice")
+    in_slice = Window.partitionBy(entity, label, "_slice")
     before = in_slice.orderBy("_offset", "_is_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def part(count: str):
-        below = F.sum(count).over(before)
-        return F.when(F.col("_to_end"), F.sum(count).over(in_slice) - below).otherwise(below)
-
-    parts = both.select("*", part("_controls").alias("_in_controls"), part("_cases").alias("_in_cases"))
+    below = F.sum("_index_rows").over(before)
+    inside = F.when(F.col("_to_end"), F.sum("_index_rows").over(in_slice) - below).otherwise(below)
+    parts = both.select("*", inside.alias("_inside")).where(~F.col("_is_index"))
     known = ["_sum", "_n", "_latest"]
-    per_second = (
-        parts.where(~F.col("_is_index"))
-        .groupBy(entity, item, "_at", "pred_hours")
-        .agg(
-            F.sum("_in_controls").alias("_in_controls"),
-            F.sum("_in_cases").alias("_in_cases"),
-            *[F.first(c).alias(c) for c in known],
-        )
-    )
-    labels = F.array(
-        F.struct(F.lit(0).alias(label), F.col("_in_controls").alias("_windows")),
-        F.struct(F.lit(1).alias(label), F.col("_in_cases").alias("_windows")),
+    per_second = parts.groupBy(entity, label, item, "_at", "pred_hours").agg(
+        F.sum("_inside").alias("_windows"), *[F.first(c).alias(c) for c in known]
     )
-    return per_second.select(entity, item, "_at", "pred_hours", *known, F.inline(labels)).where("_windows > 0")
+    return per_second.where("_windows > 0").select(entity, item, "_at", "pred_hours", *known, label, "_windows")
 
 
 def wide_items_counted(

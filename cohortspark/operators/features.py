@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cohortspark.functions.columns import seconds_before
 from cohortspark.operators.joins import DEFAULT_SALTS, fits_in_broadcast, spread_join
@@ -57,24 +59,20 @@ def observation_window_join(
     A list of ``pred_hours`` gives one row per window an event falls in, told apart by a column ``pred_hours``;
     the events are still read, shuffled and joined only once.
 
-    A small index table is joined on the entity alone. A large one is joined on entity and time slice: a slice is
-    as long as the window, so an event is in one slice and an index row in two, and the events of one entity are
-    spread over their slices and, within a slice, over salts.
+    The join is on entity and time slice: a slice is as long as the window, so an event is in one slice and an index
+    row in two, and an event only meets the index rows of its entity that are near it. The events of one entity are
+    spread over their slices and, when the index table is not small enough to be broadcast, over salts.
     """
     windows = [pred_hours] if isinstance(pred_hours, int) else sorted(set(pred_hours))
     nearest, farthest = windows[0] * 3600, (windows[-1] + obs_hours) * 3600
     if salts is None:
-        salts = 0 if fits_in_broadcast(index) else DEFAULT_SALTS
-
-    if salts == 0:
-        joined = events.join(index, entity, "inner")
-    else:
-        width = F.lit(max(farthest - nearest, 1))
-        at = F.unix_timestamp(index_time)
-        first, last = F.floor((at - farthest) / width), F.floor((at - nearest) / width)
-        sliced = events.withColumn("_slice", F.floor(F.unix_timestamp(time) / width))
-        reached = index.withColumn("_slice", F.explode(F.sequence(first, last)))
-        joined = spread_join(sliced, reached, [entity, "_slice"], "inner", salts, [time]).drop("_slice")
+        salts = 1 if fits_in_broadcast(index) else DEFAULT_SALTS
+    width = F.lit(max(farthest - nearest, 1))
+    at = F.unix_timestamp(index_time)
+    first, last = F.floor((at - farthest) / width), F.floor((at - nearest) / width)
+    sliced = events.withColumn("_slice", F.floor(F.unix_timestamp(time) / width))
+    reached = index.withColumn("_slice", F.explode(F.sequence(first, last)))
+    joined = spread_join(sliced, reached, [entity, "_slice"], "inner", max(salts, 1), [time]).drop("_slice")
 
     lead = seconds_before(index_time, time)
     joined = joined.where(lead.between(nearest, farthest))
@@ -89,6 +87,19 @@ def observation_window_join(
 # --- one value per item ------------------------------------------------------------------------------------------
 
 
+def time_order(df: DataFrame, time: str, tie_break: str) -> Column:
+    """What ``max_by`` orders events by: their time, then the tie-break.
+
+    With a whole-numbered tie-break both are packed into one decimal. Unlike a struct, that can be kept in a hash
+    aggregation, so map tasks reduce their events without sorting them. Missing tie-breaks come first.
+    """
+    if not isinstance(df.schema[tie_break].dataType, IntegralType):
+        return F.struct(time, tie_break)
+    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(38,0)")
+    rank = F.coalesce(F.col(tie_break).cast("decimal(20,0)") + F.lit(Decimal(2**63 + 1)), F.lit(0).cast("decimal(21,0)"))
+    return (micros * F.lit(Decimal(10**20))).cast("decimal(38,0)") + rank
+
+
 def latest_per_item(
     windowed: DataFrame, keys: Sequence[str], item: str, value: str, time: str, tie_break: str
 ) -> DataFrame:
@@ -96,7 +107,7 @@ def latest_per_item(
 
     ``max_by`` is reduced in the map tasks, so a key with very many events sends few rows.
     """
-    return windowed.groupBy(*keys, item).agg(F.max_by(value, F.struct(time, tie_break)).alias(value))
+    return windowed.groupBy(*keys, item).agg(F.max_by(value, time_order(windowed, time, tie_break)).alias(value))
 
 
 def latest_per_item_ranked(
@@ -136,7 +147,7 @@ def wide_items(
     """One row per key with a column per declared item (``items`` maps item to column name), in one aggregation."""
     if agg not in ("latest", "mean"):
         raise ValueError(f"unknown aggregate {agg}")
-    order = F.struct(time, tie_break)
+    order = time_order(windowed, time, tie_break)
     columns = []
     for code, name in items.items():
         is_item = F.col(item) == F.lit(code)

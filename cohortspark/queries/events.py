@@ -6,6 +6,8 @@ and a ``signup`` the first; views, clicks and purchases are the measured items.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from cohortspark.operators.joins import join_demographics
 from cohortspark.plans.feature_sets import MANY_WINDOWS, FeatureSpec, feature_table, long_feature_table
 from cohortspark.plans.feature_sets import window_sweep as sweep
 from cohortspark.queries.registry import query, table
+from cohortspark.sources.checkpoints import durable
 
 RULES = (Rule("purchase", "<", 15.0), Rule("click", "<=", 100.0), Rule("view", ">=", 22.0))
 ITEMS = {"click": "click", "purchase": "purchase", "view": "view"}
@@ -234,13 +237,6 @@ def latest_per_item(spark: SparkSession, folder: str) -> DataFrame:
     return latest_frame(spark, folder)
 
 
-@query(f"{INDEX_CTE}, {WINDOW_CTE}, {LATEST_CTE} SELECT user_id, label, event_type, value FROM lat")
-def latest_per_item_ranked(spark: SparkSession, folder: str) -> DataFrame:
-    return feature_ops.latest_per_item_ranked(
-        windowed_frame(spark, folder), KEYS, "event_type", "value", "ts", "event_id"
-    )
-
-
 @query(f"{INDEX_CTE}, {WINDOW_CTE}, {MEAN_CTE} SELECT user_id, label, event_type, round(value, 6) AS value FROM lat")
 def mean_per_item(spark: SparkSession, folder: str) -> DataFrame:
     return mean_frame(spark, folder).withColumn("value", F.round("value", 6))
@@ -299,7 +295,7 @@ UNION ALL SELECT user_id, label, '3_segment', segment FROM adm JOIN stat USING (
 
 def long_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Vitals, score and static attributes stacked from separate long tables."""
-    latest = latest_frame(spark, folder)
+    latest = durable(latest_frame(spark, folder))  # three parts read it
     score = feature_ops.risk_score(latest, KEYS, "event_type", "value", RULES, "value").select(
         *KEYS, F.lit("1_score").alias("event_type"), "value"
     )
@@ -347,6 +343,38 @@ def wide_features_counted(spark: SparkSession, folder: str) -> DataFrame:
     return filled(feature_frame(spark, folder, many_windows=0))
 
 
+def crowded_sql(value: str) -> str:
+    columns = ", ".join(f"{value} FILTER (event_type = '{name}') AS {name}" for name in ITEMS)
+    return f"""
+WITH e AS (SELECT user_id % 5 AS user_id, event_type, ts, event_id, value FROM events),
+ ix AS (SELECT user_id % 5 AS user_id, ts AS index_time, CAST(nullif(event_id % 4, 3) AS INT) AS label FROM events),
+ w AS (SELECT e.user_id, label, event_type, ts, event_id, value FROM e JOIN ix USING (user_id)
+       WHERE event_type IN ('view', 'click', 'purchase')
+         AND epoch_us(index_time) // 1000000 - epoch_us(ts) // 1000000 BETWEEN 28800 AND 115200)
+SELECT user_id, label, {columns} FROM w GROUP BY 1, 2
+"""
+
+
+def crowded_frame(spark: SparkSession, folder: str, agg: str) -> DataFrame:
+    """Five entities with every event of theirs as an index row, and labels 0, 1, 2 and NULL: windows are counted."""
+    events = table(spark, folder, "events").withColumn("user_id", F.col("user_id") % 5)
+    label = F.nullif(F.col("event_id") % 4, F.lit(3)).cast("int")
+    index = events.select("user_id", F.col("ts").alias("index_time"), label.alias("label"))
+    spec = replace(SPEC, derived={}, rules=(), static={})
+    return feature_table(index, events, events, spec, agg=agg)
+
+
+@query(crowded_sql("arg_max(value, (ts, event_id))"))
+def crowded_features(spark: SparkSession, folder: str) -> DataFrame:
+    return crowded_frame(spark, folder, "latest")
+
+
+@query(f"SELECT user_id, label, {', '.join(f'round({n}, 6) AS {n}' for n in ITEMS)} FROM ({crowded_sql('avg(value)')})")
+def crowded_mean_features(spark: SparkSession, folder: str) -> DataFrame:
+    wide = crowded_frame(spark, folder, "mean")
+    return wide.withColumns({name: F.round(name, 6) for name in ITEMS})
+
+
 WIDE_MEAN_SQL = f"""
 {INDEX_CTE}, {wide_cte('mean')}
 SELECT user_id, label, {rounded(FEATURE_COLUMNS)} FROM wide

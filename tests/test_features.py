@@ -209,6 +209,36 @@ def test_counted_windows_equal_joined_ones(crowd, stays, rows, agg, pred_hours,
     assert rows(joined) == rows(counted)
 
 
+@pytest.mark.parametrize("agg", ["latest", "mean"])
+def test_a_limit_on_windows_changes_no_row(spark, stays, rows, agg):
+    """Entities just below, at and above the limit, with labels 0, 1, 2 and NULL; sums of the values are exact."""
+    rng = random.Random(8)
+    events = events_of(spark, [(i, rng.randint(0, 5), rng.choice("abc"), T0 - S * rng.randint(0, 90000), rng.randint(0, 400) / 4) for i in range(900)])
+    index = index_of(spark, [(e, T0 - S * (7 * k), rng.choice([0, 1, 2, None])) for e in range(6) for k in range(10 + e)])
+    results = [rows(feature_table(index, events, stays, SPEC, 2, 10, agg, many_windows=n)) for n in (1000, 14, 12, 9, 0)]
+    assert len(results[0]) == 24 and all(r == results[0] for r in results[1:])
+
+
+def test_latest_values_are_reduced_by_hashing(crowd):
+    events, index, _, _ = crowd
+    windowed = observation_window_join(events, index, entity="e", time="t", pred_hours=2, obs_hours=10)
+    for df in (latest_per_item(windowed, KEYS, "item", "value", "t", "id"), wide_items(windowed, KEYS, ITEMS, item="item", value="value", time="t", tie_break="id")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_events_meet_only_near_windows(spark):
+    """One entity with 2,000 windows and 2,000 events over 2,000 days: an event is joined to few of them."""
+    day = 86400
+    events = spark.range(2000).select("id", F.lit(1).cast("long").alias("e"), F.timestamp_seconds(F.col("id") * day).alias("t"))
+    index = spark.range(2000).select(F.lit(1).cast("long").alias("e"), F.timestamp_seconds(F.col("id") * day + 40000).alias("index_time"))
+    for salts in (None, 4):
+        df = observation_window_join(events, index, entity="e", time="t", pred_hours=8, obs_hours=24, salts=salts)
+        assert df.count() == 1999 + 1
+        join = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+        assert "_slice" in join[0]
+
+
 def test_counting_emits_no_pairs(spark):
     """One entity with 2,000 windows and 2,000 events: the plan joins no event with an index row."""
     events = spark.range(2000).select(
@@ -223,7 +253,8 @@ def test_counting_emits_no_pairs(spark):
         events, index, entity="e", item="item", value="value", time="t", tie_break="id", index_time="index_time",
         label="label", pred_hours=[1], obs_hours=1,
     )
-    assert "Join" not in counted._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in counted._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 1 and "index_time" not in joins[0]  # seconds meet the two labels of the entity only
     index_seconds = [(1_600_003_600 + i % 900, i % 2) for i in range(2000)]
     expected = {}
     for second in range(1_600_000_000, 1_600_000_700):
