@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import category_code, replace_sentinel
 from cohortspark.operators.features import Rule
@@ -14,7 +15,7 @@ from cohortspark.plans.cohort import build_cohort, clean_cultures, clean_prescri
 from cohortspark.plans.dictionaries import antibiotics
 from cohortspark.plans.feature_sets import FeatureSpec, feature_table, feature_vectors
 from cohortspark.sources.checkpoints import checkpoint_or_reload, durable
-from cohortspark.sources.tables import read_csv_table, read_dictionary_text
+from cohortspark.sources.tables import read_csv_table, read_dictionary_ids, read_dictionary_text
 from cohortspark.sources.vectors import feature_set_path, write_libsvm
 
 
@@ -36,7 +37,7 @@ def clinical_spec() -> FeatureSpec:
 
 
 def record_steps(
-    raw: Callable[[str], DataFrame], drugs: DataFrame, null_time: str = "epoch"
+    raw: Callable[[str], DataFrame], drugs: DataFrame, null_time: str = "epoch", vitals: DataFrame | None = None
 ) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
     """How each of the four record tables comes from the five raw ones (by name) and the cohort of stays."""
     return {
@@ -45,7 +46,9 @@ def record_steps(
             raw("PRESCRIPTIONS"), done["icustays"], drugs, null_time=null_time
         ),
         "microbiologyevents": lambda done: clean_cultures(raw("MICROBIOLOGYEVENTS"), done["icustays"]),
-        "chartevents": lambda done: clean_vitals(raw("CHARTEVENTS"), done["icustays"]),
+        "chartevents": lambda done: clean_vitals(
+            raw("CHARTEVENTS"), done["icustays"], items=tuple(fixed.VITAL_ITEMS) if vitals is None else vitals
+        ),
     }
 
 
@@ -96,23 +99,33 @@ def run_clinical(
     save_folder: str,
     *,
     reload: bool = False,
-    pred_hours: int = fixed.PREDICTION_HOURS,
+    pred_hours: int | Sequence[int] = fixed.PREDICTION_HOURS,
     obs_hours: int = fixed.OBSERVATION_HOURS,
     agg: str = "latest",
     schemas: dict[str, str] | None = None,
     drugs_path: str | None = None,
+    vitals_path: str | None = None,
+    null_time: str = "epoch",
 ) -> DataFrame:
     """Raw files to ``(hadmID, label, features)``, saving the record tables and the feature set below ``save_folder``.
 
-    Saved record tables are used again unless ``reload`` is set.
+    Saved record tables are used again unless ``reload`` is set. A list of ``pred_hours`` adds a column of that name
+    and saves a feature set for each. ``vitals_path`` names a CSV dictionary of item ids to read instead of the fixed
+    items; items outside the declared features have no column.
     """
     drugs = antibiotics(spark) if drugs_path is None else read_dictionary_text(spark, drugs_path)
     records = checkpoint_or_reload(
         spark,
         save_folder,
-        record_steps(lambda name: read_raw_table(spark, raw_folder, name, schemas), drugs),
+        record_steps(
+            lambda name: read_raw_table(spark, raw_folder, name, schemas), drugs, null_time,
+            None if vitals_path is None else read_dictionary_ids(spark, vitals_path),
+        ),
         reload,
     )
-    vectors = feature_vectors(clinical_features(records, pred_hours, obs_hours, agg), clinical_spec())
-    write_libsvm(vectors, feature_set_path(save_folder, obs_hours, pred_hours, agg))
+    # Stored, so that saving and whatever the caller does with it compute it once.
+    vectors = durable(feature_vectors(clinical_features(records, pred_hours, obs_hours, agg), clinical_spec()))
+    for hours in [pred_hours] if isinstance(pred_hours, int) else sorted(set(pred_hours)):
+        swept = vectors if isinstance(pred_hours, int) else vectors.where(F.col("pred_hours") == hours)
+        write_libsvm(swept, feature_set_path(save_folder, obs_hours, hours, agg))
     return vectors

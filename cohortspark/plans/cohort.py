@@ -106,11 +106,19 @@ def clean_cultures(
 
 
 def clean_vitals(
-    chart: DataFrame, cohort: DataFrame, *, items: Sequence[int] = tuple(fixed.VITAL_ITEMS), salts: int | None = None
+    chart: DataFrame, cohort: DataFrame, *, items: Sequence[int] | DataFrame = tuple(fixed.VITAL_ITEMS),
+    salts: int | None = None,
 ) -> DataFrame:
-    """Numeric readings of the listed items, free of errors, within cohort stays."""
+    """Numeric readings of the listed items, free of errors, within cohort stays.
+
+    ``items`` are item codes, or a dictionary with a column ``itemid``.
+    """
     readings = chart.select("SUBJECT_ID", "HADM_ID", "ICUSTAY_ID", "ITEMID", "CHARTTIME", "VALUENUM", "ERROR")
-    readings = filter_in_list(filter_not_null(filter_equals(readings, ERROR=0), "VALUENUM"), "ITEMID", items)
+    readings = filter_not_null(filter_equals(readings, ERROR=0), "VALUENUM")
+    if isinstance(items, DataFrame):
+        readings = semi_join(readings, items, "ITEMID", "itemid", salts)
+    else:
+        readings = filter_in_list(readings, "ITEMID", items)
     return project_record(
         semi_join(readings, cohort, "ICUSTAY_ID", "icustayID", salts),
         {

@@ -6,8 +6,9 @@ tables of ``(model, metric, value)`` rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.ml import Estimator, Model
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from cohortspark.functions.columns import vector_element
 from cohortspark.operators.evaluation import (
     area_metrics,
+    auroc,
+    best_f_threshold,
     binary_metrics,
     metric_rows,
+    roc_points,
     threshold_counts,
     weighted_metrics,
 )
@@ -43,7 +47,7 @@ FOREST_SEED = 545510477
 SEARCH_FOLDS = 3
 REPORT_FOLDS = 5
 
-# The parameters searched. "small" is the first step of each, for quick runs.
+# The parameters searched. "small" is a part of each, for quick trials.
 GRIDS: dict[str, dict[str, dict[str, list[Any]]]] = {
     "logistic": {
         "full": {
@@ -85,6 +89,11 @@ def scale_unit_std(
     return [scaler.transform(df) for df in (train, *others)]
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Store rows that many fits read, in as few partitions as their size asks for."""
+    return durable(df.hint("rebalance"))
+
+
 def param_grid(estimator: Estimator, values: dict[str, list[Any]]) -> list[dict]:
     builder = ParamGridBuilder()
     for name, options in values.items():
@@ -103,7 +112,7 @@ def cross_validate(
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
+        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0),  # all thresholds, not a thousand
         numFolds=folds,
         parallelism=parallelism,
         seed=seed,
@@ -142,10 +151,11 @@ class Prepared:
 
 def prepare(features: DataFrame, key: str | None = None, folds: int = SEARCH_FOLDS) -> Prepared:
     """Split by the key (or at random), scale by the spread of the train rows and deal these out to folds."""
+    features = compact(features)  # scaling, splitting and dealing out read it again
     train, test = scale_unit_std(*train_test_split(features, key, TRAIN_SHARE, SPLIT_SEED))
     if key is not None:
         train = stratified_kfold_assign(train, key, "label", folds, SPLIT_SEED, "fold")
-    return Prepared(durable(train), durable(test), key is not None)
+    return Prepared(compact(train), compact(test), key is not None)
 
 
 def _search(
@@ -254,8 +264,13 @@ def fit_logistic_plain(features: DataFrame) -> dict[str, LogisticRegressionModel
 
 def best_threshold(model: LogisticRegressionModel) -> float:
     """The threshold with the largest F-measure on the training rows, the highest of several."""
-    points = model.summary.fMeasureByThreshold
-    return points.agg(F.max(F.struct("`F-Measure`", "threshold"))["threshold"]).head()[0]
+    return best_f_threshold(training_counts(model)).head()["threshold"]
+
+
+def training_counts(model: LogisticRegressionModel) -> DataFrame:
+    """Counts per distinct probability of class 1 on the training rows."""
+    scored = model.summary.predictions.select("label", vector_element("probability", 1).alias("score"))
+    return threshold_counts(scored)
 
 
 def logistic_summary(model: LogisticRegressionModel, name: str) -> DataFrame:
@@ -263,14 +278,14 @@ def logistic_summary(model: LogisticRegressionModel, name: str) -> DataFrame:
     matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     rows = [(name, f"coefficient_{c}_{f}", float(v)) for c, row in enumerate(matrix) for f, v in enumerate(row)]
     rows += [(name, f"intercept_{c}", float(v)) for c, v in enumerate(intercepts)]
-    rows += [(name, "auroc", float(model.summary.areaUnderROC)), (name, "threshold", float(model.getThreshold()))]
+    rows += [(name, "auroc", float(auroc(training_counts(model)).head()["auroc"])), (name, "threshold", float(model.getThreshold()))]
     spark = model.summary.predictions.sparkSession
     return spark.createDataFrame(rows, "model STRING, metric STRING, value DOUBLE")
 
 
 def summary_roc(model: LogisticRegressionModel) -> DataFrame:
     """ROC points on the training rows."""
-    return model.summary.roc.select(F.col("FPR").alias("fpr"), F.col("TPR").alias("tpr"))
+    return roc_points(training_counts(model)).select("fpr", "tpr")
 
 
 # --- a forest of its own, and k folds ----------------------------------------------------------------------------
@@ -284,7 +299,7 @@ def fit_forest(train: DataFrame, test: DataFrame, trees: int = 100, features: st
 
 def forest_report(features: DataFrame, key: str, trees: int = 100, train_share: float = 0.75) -> DataFrame:
     """Metrics of the forest on a held-out split; features are scaled by the spread of the train rows."""
-    train, test = train_test_split(features, key, train_share, 0)
+    train, test = train_test_split(compact(features), key, train_share, 0)
     train, test = scale_unit_std(train, test)
     predictions = fit_forest(train, test, trees, "scaled").select(
         F.lit("RandomForest").alias("model"), "label", "prediction", "probability"
@@ -292,34 +307,36 @@ def forest_report(features: DataFrame, key: str, trees: int = 100, train_share:
     return forest_metrics(durable(predictions))
 
 
-def _fold_metrics(folded: DataFrame, folds: int, trees: int, model_name: str) -> DataFrame:
-    """Mean over the folds of the metrics of a forest fitted on the others."""
-    folded = durable(folded)
+def _tested_folds(folded: DataFrame, folds: int, trees: int) -> DataFrame:
+    """Predictions for the rows of each fold by a forest fitted on the others."""
+    folded = compact(folded)
     tested = []
     for fold in range(folds):
         train, test = scale_unit_std(folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold))
         tested.append(fit_forest(train, test, trees, "scaled").select("fold", "label", "prediction", "probability"))
-    predictions = tested[0]
-    for other in tested[1:]:
-        predictions = predictions.unionByName(other)
-    per_fold = forest_metrics(durable(predictions), by=["fold"])
+    return reduce(DataFrame.unionByName, tested)
+
+
+def _fold_metrics(folded: DataFrame, folds: int, trees: int, model_name: str) -> DataFrame:
+    """Mean over the folds of the metrics of a forest fitted on the others."""
+    per_fold = forest_metrics(durable(_tested_folds(folded, folds, trees)), by=["fold"])
     return per_fold.groupBy(F.lit(model_name).alias("model"), "metric").agg((F.sum("value") / folds).alias("value"))
 
 
 def kfold_metrics(features: DataFrame, key: str, folds: int = REPORT_FOLDS, trees: int = 100) -> DataFrame:
     """Mean metrics over contiguous folds in the order of the key."""
-    return _fold_metrics(kfold_assign(features, key, folds), folds, trees, "RandomForest/kfold")
+    return _fold_metrics(kfold_assign(durable(features), key, folds), folds, trees, "RandomForest/kfold")
 
 
 def stratified_kfold_metrics(features: DataFrame, key: str, folds: int = REPORT_FOLDS, trees: int = 100) -> DataFrame:
     """Mean metrics over shuffled folds with equal shares of each label."""
-    folded = stratified_kfold_assign(features, key, "label", folds, FOREST_SEED)
+    folded = stratified_kfold_assign(durable(features), key, "label", folds, FOREST_SEED)
     return _fold_metrics(folded, folds, trees, "RandomForest/stratified")
 
 
 def metrics_by_window(features: DataFrame, key: str, window: str = "pred_hours", trees: int = 100) -> DataFrame:
     """Metrics of a forest per prediction window; ``features`` carries the window of each row."""
-    features = durable(features)
+    features = compact(features)
     windows = [row[0] for row in features.select(window).distinct().orderBy(window).collect()]
     tested = []
     for hours in windows:
@@ -331,3 +348,24 @@ def metrics_by_window(features: DataFrame, key: str, window: str = "pred_hours",
         predictions = predictions.unionByName(other)
     named = durable(predictions).withColumn("model", F.lit("RandomForest"))
     return forest_metrics(named, by=["model", window])
+
+
+def fold_metrics_by_window(
+    features: DataFrame, key: str, window: str = "pred_hours", folds: int = REPORT_FOLDS, trees: int = 100
+) -> DataFrame:
+    """Mean fold metrics of the forest per prediction window, over contiguous and over stratified folds."""
+    features = compact(features)
+    windows = [row[0] for row in features.select(window).distinct().orderBy(window).collect()]
+    dealt: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "RandomForest/kfold": lambda df: kfold_assign(df, key, folds),
+        "RandomForest/stratified": lambda df: stratified_kfold_assign(df, key, "label", folds, FOREST_SEED),
+    }
+    tested = [
+        _tested_folds(deal(features.where(F.col(window) == hours)), folds, trees).select(
+            F.lit(name).alias("model"), F.lit(hours).alias(window), "fold", "label", "prediction", "probability"
+        )
+        for name, deal in dealt.items()
+        for hours in windows
+    ]
+    per_fold = forest_metrics(durable(reduce(DataFrame.unionByName, tested)), by=["model", window, "fold"])
+    return per_fold.groupBy("model", window, "metric").agg((F.sum("value") / folds).alias("value"))

@@ -1,42 +1,106 @@
-"""Model fits on the swept and plain feature sets; small grids, so that a run takes seconds."""
+"""Model searches, fits and reports at full size on the swept and plain feature sets.
+
+What a search finds cannot be written as SQL. The comparison holds the rows that each model was tested on, per label, and
+whether all its metrics are shares; a logistic regression on one column of zeros and ones has a closed form.
+"""
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.functions.columns import apply_threshold, vector_element
 from cohortspark.plans import models
 from cohortspark.plans.feature_sets import feature_vectors
-from cohortspark.queries.events import FEATURE_COLUMNS, SPEC, feature_frame, sweep_frame
+from cohortspark.queries.events import FEATURE_COLUMNS, INDEX_CTE, SPEC, feature_frame, sweep_frame, wide_cte
+from cohortspark.queries.metrics import SCORED_CTE, scored_frame
 from cohortspark.queries.registry import query
-from cohortspark.sources import durable, report_metrics as report, shared_folder
+from cohortspark.sources import report_metrics as report, shared_folder
 
 KEY = "user_id"
+PARALLEL = 8
+ZERO_ONE_FIT = {"maxIter": 200, "regParam": 0.0, "tol": 1e-12, "standardization": False, "predictionCol": "guess"}
 
 
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The feature set, written once because fits read it many times."""
-    return durable(feature_vectors(feature_frame(spark, folder), SPEC))
+    return models.compact(feature_vectors(feature_frame(spark, folder), SPEC))
 
 
-@query()
+def tested_sql(*names: str) -> str:
+    """Test rows of the split by hash, per model and label."""
+    rows = ", ".join(f"('{name}')" for name in names)
+    return f"""
+{INDEX_CTE}, {wide_cte('latest')}
+SELECT model, label::DOUBLE AS label, count(*) AS tested_rows, TRUE AS metrics_are_shares
+FROM wide, (VALUES {rows}) AS m(model)
+WHERE ('0x' || substr(md5('11:' || user_id::VARCHAR), 1, 8))::BIGINT >= floor(0.67 * 4294967296)::BIGINT
+GROUP BY 1, 2
+"""
+
+
+def tested(predictions: DataFrame, metrics: DataFrame) -> DataFrame:
+    shares = metrics.groupBy("model").agg(
+        ((F.count_if(F.col("value").between(0, 1)) == F.count(F.lit(1))) & (F.count_distinct("metric") == 6)).alias("metrics_are_shares")
+    )
+    return predictions.groupBy("model", "label").agg(F.count(F.lit(1)).alias("tested_rows")).join(shares, "model")
+
+
+@query(tested_sql("LogisticRegression"))
 def logistic_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_logistic_cv(vectors(spark, folder), KEY, "small", parallelism=4).metrics
+    fitted = models.fit_logistic_cv(vectors(spark, folder), KEY, parallelism=PARALLEL)
+    return tested(fitted.predictions, fitted.metrics)
 
 
-@query()
+@query(tested_sql("RandomForest"))
 def forest_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_forest_cv(vectors(spark, folder), KEY, "small", parallelism=4).metrics
+    fitted = models.fit_forest_cv(vectors(spark, folder), KEY, parallelism=PARALLEL)
+    return tested(fitted.predictions, fitted.metrics)
 
 
-@query()
+@query(tested_sql("GradientBoostedTrees"))
 def gbt_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_gbt_cv(vectors(spark, folder), KEY, "small", parallelism=4, iterations=5).metrics
+    fitted = models.fit_gbt_cv(vectors(spark, folder), KEY, parallelism=PARALLEL)
+    return tested(fitted.predictions, fitted.metrics)
 
 
-@query()
+@query(tested_sql("MultiLayerPerceptron"))
 def mlp_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return models.fit_mlp_cv(vectors(spark, folder), KEY, "small", parallelism=4, width=len(FEATURE_COLUMNS)).metrics
+    fitted = models.fit_mlp_cv(vectors(spark, folder), KEY, parallelism=PARALLEL, width=len(FEATURE_COLUMNS))
+    return tested(fitted.predictions, fitted.metrics)
+
+
+@query(
+    f"""{SCORED_CTE},
+ o AS (SELECT prediction AS x, count(*) FILTER (label = 1) AS yes, count(*) FILTER (label = 0) AS no FROM s GROUP BY 1)
+SELECT round(ln(yes / no), 4) AS log_odds, x FROM o WHERE yes > 0 AND no > 0
+"""
+)
+def logistic_closed_form(spark: SparkSession, folder: str) -> DataFrame:
+    """An unpenalised fit on one column of zeros and ones: intercept and coefficient are log-odds."""
+    scored = scored_frame(spark, folder).select("prediction", F.col("label").cast("double").alias("label"))
+    rows = models.compact(VectorAssembler(inputCols=["prediction"], outputCol="features").transform(scored))
+    model = LogisticRegression(**ZERO_ONE_FIT).fit(rows)
+    at_zero, at_one = model.intercept, model.intercept + model.coefficients[0]
+    found = rows.select(F.col("prediction").cast("int").alias("x")).distinct()
+    return found.select(F.round(F.when(F.col("x") == 1, at_one).otherwise(at_zero), 4).alias("log_odds"), "x")
+
+
+@query(
+    f"""{SCORED_CTE},
+ o AS (SELECT prediction AS x, avg(label) AS p FROM s GROUP BY 1)
+SELECT doc_id, round(p, 4) AS probability, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS above FROM s JOIN o ON x = prediction
+"""
+)
+def predicted_probability(spark: SparkSession, folder: str) -> DataFrame:
+    """One element of the vector of probabilities of that fit, and whether it is above a half."""
+    scored = scored_frame(spark, folder).select("doc_id", "prediction", F.col("label").cast("double").alias("label"))
+    rows = models.compact(VectorAssembler(inputCols=["prediction"], outputCol="features").transform(scored))
+    fitted = LogisticRegression(**ZERO_ONE_FIT).fit(rows)
+    chance = vector_element("probability", 1)
+    return fitted.transform(rows).select("doc_id", F.round(chance, 4).alias("probability"), apply_threshold(chance, 0.5).alias("above"))
 
 
 @query()
@@ -52,26 +116,41 @@ def logistic_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def forest_plain(spark: SparkSession, folder: str) -> DataFrame:
-    return models.forest_report(vectors(spark, folder), KEY, trees=20)
+    return models.forest_report(vectors(spark, folder), KEY)
 
 
 @query()
 def kfold_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return models.kfold_metrics(vectors(spark, folder), KEY, trees=10)
+    return models.kfold_metrics(vectors(spark, folder), KEY)
 
 
 @query()
 def stratified_kfold_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return models.stratified_kfold_metrics(vectors(spark, folder), KEY, trees=10)
+    return models.stratified_kfold_metrics(vectors(spark, folder), KEY)
 
 
 @query()
 def forest_by_window(spark: SparkSession, folder: str) -> DataFrame:
-    return models.metrics_by_window(feature_vectors(sweep_frame(spark, folder), SPEC), KEY, trees=10)
+    return models.metrics_by_window(feature_vectors(sweep_frame(spark, folder), SPEC), KEY)
 
 
 @query()
+def fold_metrics_by_window(spark: SparkSession, folder: str) -> DataFrame:
+    return models.fold_metrics_by_window(feature_vectors(sweep_frame(spark, folder), SPEC), KEY)
+
+
+MODEL_NAMES = ("LogisticRegression", "GradientBoostedTrees", "MultiLayerPerceptron", "RandomForest")
+METRIC_NAMES = ("accuracy", "f1", "weighted_precision", "weighted_recall", "auroc", "auprc")
+
+
+@query(
+    f"""
+SELECT model, metric, TRUE AS is_share FROM (VALUES {', '.join(f"('{m}')" for m in MODEL_NAMES)}) AS a(model),
+  (VALUES {', '.join(f"('{m}')" for m in METRIC_NAMES)}) AS b(metric)
+"""
+)
 def compare_models(spark: SparkSession, folder: str) -> DataFrame:
     features = feature_vectors(feature_frame(spark, folder), SPEC)
-    compared = models.compare_models(features, KEY, "small", 4, len(FEATURE_COLUMNS), iterations=5)
-    return report([compared], shared_folder(spark)).orderBy("model", F.col("metric"))
+    compared = models.compare_models(features, KEY, parallelism=PARALLEL, width=len(FEATURE_COLUMNS))
+    stacked = report([compared], shared_folder(spark))
+    return stacked.select("model", "metric", F.col("value").between(0, 1).alias("is_share"))

@@ -22,7 +22,11 @@ def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+# Searches over whole grids take minutes, and need more rows than the smallest tables have; see test_models.
+SEARCHES = {"logistic_cv", "forest_cv", "gbt_cv", "mlp_cv", "compare_models"}
+
+
+@pytest.mark.parametrize("name", sorted(set(SQL) - SEARCHES - {n for n in SQL if n.startswith("op") or n == "pipeline"}))
 def test_query_equals_sql(spark, db, name):
     assert difference(QUERIES[name](spark, FOLDER), db, SQL[name]) is None
 
