@@ -137,7 +137,16 @@ def canonical_turns(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("conv_id").cast("long").alias("conv_id"), "block", "transcript").mapInArrow(run, schema)
 
 
-@query("op2_chat_format")
+#: What has to come back from transcripts of the given table: its roles are the three, and no line starts like a marker.
+SQL = """
+SELECT conv_id, (turn // 1024)::BIGINT AS block,
+  (row_number() OVER (PARTITION BY conv_id, turn // 1024 ORDER BY turn) - 1)::BIGINT AS position, role, text,
+  '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+"""
+
+
+@query("op2_chat_format", SQL)
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """Each conversation as a raw transcript in one of several styles, parsed and rendered again."""
     return canonical_turns(transcripts(table(spark, folder, "conversations")))
