@@ -7,11 +7,12 @@ done. The others search:
 
 * A partner has at least one of any ``shared - T + 1`` lists. The shortest ones are taken (the order by list length and
   hash is the same for all documents), so long lists are left out wherever the short ones suffice.
-* First round: in each list, every document meets the smallest one. Verified links contract groups of near copies, which
-  would have a number of pairs that grows with their square.
+* First round: in each list, every document meets the one with the fewest shingles of its own. Verified links contract
+  groups of near copies, which would have a number of pairs that grows with their square.
 * Second round: only lists with documents of different components are searched. For each document its short lists are
   merged by a heap, occurrences of each partner counted, and partners that reach the required number of occurrences
   kept. Long lists are not merged: only the documents outside the list's main component meet the others in it.
+* Pairs are left out when the shared shingles of either document are too few for the overlap that both sizes ask for.
 * A pair is verified by binary probing of one sorted set with the elements of the other. The overlap is exact.
 
 Equal sets are one class throughout (a 64-bit digest of the set names it, shingles are 64-bit hashes of which at least
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.llm.common import slices, table, text_of
@@ -240,8 +241,9 @@ def searchers(shared: DataFrame) -> DataFrame:
 # --- search ----------------------------------------------------------------------------------------------------------
 
 
-def alike_in_size(a: str, b: str) -> F.Column:
-    return (100 * F.least(a, b)) >= (SIMILAR * F.greatest(a, b))
+def may_be_similar(n: Column, m: Column, other_n: Column, other_m: Column) -> Column:
+    """Whether two documents of n shingles, m of them shared with any other, could have the overlap that they need."""
+    return (100 + SIMILAR) * F.least(m, other_m) >= SIMILAR * (n + other_n)
 
 
 def t_occurrence(lists: list[list[int]], least: int) -> Iterator[int]:
@@ -286,24 +288,31 @@ def verified(pairs: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def first_pairs(postings: DataFrame) -> DataFrame:
-    """In each list, every document with the smallest one."""
-    hub = F.min(F.struct("n", "key"))
-    hubs = durable(postings.groupBy("hash").agg(hub.alias("hub"), F.count("*").alias("m")).where(F.col("m") > 1))
-    met = postings.join(hubs.select("hash", F.col("hub.key").alias("v"), F.col("hub.n").alias("n_v")), "hash")
-    return met.where((F.col("key") != F.col("v")) & alike_in_size("n", "n_v")).select(F.col("key").alias("u"), "v").distinct()
+    """In each list, every document with the one that has the fewest shingles of its own, the smallest of several.
+
+    That one is as close to the others as a member of the list can be: the original among its edited copies, or the
+    document that is hardly more than the passage that all share.
+    """
+    hub = F.min(F.struct((F.col("n") - F.col("m")).alias("own"), "n", "key", "m"))
+    hubs = durable(postings.groupBy("hash").agg(hub.alias("hub"), F.count("*").alias("docs")).where(F.col("docs") > 1))
+    hubs = hubs.select("hash", F.col("hub.key").alias("v"), F.col("hub.n").alias("n_v"), F.col("hub.m").alias("m_v"))
+    met = postings.join(hubs, "hash").where(F.col("key") != F.col("v"))
+    could = may_be_similar(F.col("n"), F.col("m"), F.col("n_v"), F.col("m_v"))
+    return met.where(could).select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
 
 
 def later_pairs(postings: DataFrame, components: DataFrame) -> DataFrame:
     """Pairs of documents from different components that the lists suggest."""
     named = postings.join(components.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
-    named = durable(named.select("hash", "key", "n", F.coalesce("root", "key").alias("root")))
-    lists = named.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("m"))
-    mixed = durable(named.join(durable(lists.where(F.col("a") != F.col("b")).select("hash", "m")), "hash"))
+    named = durable(named.select("hash", "key", "n", "m", F.coalesce("root", "key").alias("root")))
+    lists = named.groupBy("hash").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("docs"))
+    mixed = durable(named.join(durable(lists.where(F.col("a") != F.col("b")).select("hash", "docs")), "hash"))
 
-    short = mixed.where(F.col("m") < LONG).groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("key", "n", "root"))).alias("held"))
+    short = mixed.where(F.col("docs") < LONG).groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("key", "n", "m", "root"))).alias("held"))
     one = short.select(F.explode("held").alias("own"), "held")
+    own = F.col("own")
     partners = F.transform(
-        F.filter("held", lambda x: (x.key < F.col("own.key")) & (x.root != F.col("own.root")) & (100 * F.least(x.n, F.col("own.n")) >= SIMILAR * F.greatest(x.n, F.col("own.n")))),
+        F.filter("held", lambda x: (x.key < own.key) & (x.root != own.root) & may_be_similar(x.n, x.m, own.n, own.m)),
         lambda x: x.key,
     )
     merged = one.select(F.col("own.key").alias("u"), partners.alias("list")).where(F.size("list") > 0)
@@ -317,12 +326,13 @@ def later_pairs(postings: DataFrame, components: DataFrame) -> DataFrame:
 
     pairs = merged.mapInArrow(search, "u long, v long")
 
-    long = mixed.where(F.col("m") >= LONG).select("hash", "key", "n", "root")
-    sizes = long.groupBy("hash", "root").agg(F.count("*").alias("docs"))
-    main = sizes.groupBy("hash").agg(F.max(F.struct("docs", "root")).getField("root").alias("main"))
+    long = mixed.where(F.col("docs") >= LONG).select("hash", "key", "n", "m", "root")
+    sizes = long.groupBy("hash", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("hash").agg(F.max(F.struct("size", "root")).getField("root").alias("main"))
     outside = durable(long.join(durable(main), "hash").where(F.col("root") != F.col("main")))
-    other = long.select("hash", F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("root").alias("root_v"))
-    met = outside.join(other, "hash").where((F.col("root") != F.col("root_v")) & alike_in_size("n", "n_v"))
+    other = long.select("hash", F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("m").alias("m_v"), F.col("root").alias("root_v"))
+    could = may_be_similar(F.col("n"), F.col("m"), F.col("n_v"), F.col("m_v"))
+    met = outside.join(other, "hash").where((F.col("root") != F.col("root_v")) & could)
     return pairs.unionByName(met.select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v"))).distinct()
 
 
@@ -335,7 +345,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     buckets = min(1 << 16, -(-total // bucket)) or 1
     shared = shared_shingles(packed_shingles(rows, buckets), buckets, parts=-(-buckets // 2))
     documents = durable(searchers(shared))
-    postings = durable(documents.select("key", "n", F.explode("lists").alias("hash")))
+    shared_size = (F.octet_length("shared") / 8).cast("long")
+    postings = durable(documents.select("key", "n", shared_size.alias("m"), F.explode("lists").alias("hash")))
     links = durable(verified(durable(first_pairs(postings)), documents))
     components = connected_components(links)
     more = durable(verified(durable(later_pairs(postings, components)), documents))
