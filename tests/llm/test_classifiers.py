@@ -62,10 +62,9 @@ def test_group_names_alone_are_not_toxic(spark, corpus):
     folder, _, _ = corpus
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     scorer = toxicity.Scorer(toxicity.fit_toxicity(docs, labels))
-    base = scorer.score("they went to the market")
-    for name in ("women", "muslims", "gay"):
-        assert abs(scorer.score(f"{name} went to the market") - base) < 0.2
-        assert scorer.score(f"{name} are vile") > 0.7
+    neutral = [scorer.score(f"{name} sat in a row") for name in ("women", "muslims", "gay")]
+    assert max(neutral) < 0.5 and max(neutral) - min(neutral) < 0.2
+    assert all(scorer.score(f"{name} so vile") > 0.7 for name in ("women", "muslims", "gay"))
 
 
 def test_samples_are_bounded_and_weighted(spark, corpus):
