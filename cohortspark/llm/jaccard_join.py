@@ -51,6 +51,9 @@ BUCKET, GATHERED, FREQUENT = 1_000_000, 1_000_000, 64
 #: List lengths are told apart up to here; longer lists are long ones.
 LONG = 64
 
+#: Parts of the hash in which the shared shingles of a document are counted.
+BINS = 64
+
 LOW = np.uint64((1 << 48) - 1)
 
 
@@ -212,8 +215,11 @@ def shared_shingles(packed: DataFrame, buckets: int, parts: int) -> DataFrame:
 
 
 def searchers(shared: DataFrame) -> DataFrame:
-    """(key, n, shared, lists): documents with enough shared shingles, these sorted, and the lists to search."""
-    names = ["key", "n", "shared", "lists"]
+    """(key, n, shared, lists, bins): documents with enough shared shingles, these sorted, and the lists to search.
+
+    ``bins`` has how many of the shared ones fall into each of ``BINS`` parts of the hash; null if that is over a byte.
+    """
+    names = ["key", "n", "shared", "lists", "bins"]
 
     def run(found: pa.Table) -> pa.Table:
         key, size = _unpacked(found)
@@ -224,18 +230,20 @@ def searchers(shared: DataFrame) -> DataFrame:
         first[1:] = (full[1:] != full[:-1]) | (key[1:] != key[:-1])
         full, key, size, length = full[first], key[first], size[first], length[first]
         starts, counts = _runs(key)
-        made: list[list] = [[], [], [], []]
+        made: list[list] = [[], [], [], [], []]
         for start, count in zip(starts.tolist(), counts.tolist()):
             n, spare = int(size[start]), count - required(int(size[start]))
             if spare >= 0:
                 own = full[start : start + count]
                 shortest = np.argsort(length[start : start + count], kind="stable")[: spare + 1]
-                for column, value in zip(made, (int(key[start]), n, own.tobytes(), own[shortest].view(np.int64))):
+                bins = np.bincount((own % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+                held = bins.astype(np.int8) if bins.max() < 128 else None
+                for column, value in zip(made, (int(key[start]), n, own.tobytes(), own[shortest].view(np.int64), held)):
                     column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int8())]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names)
 
-    return shared.groupBy("part").applyInArrow(run, "key long, n long, shared binary, lists array<long>")
+    return shared.groupBy("part").applyInArrow(run, "key long, n long, shared binary, lists array<long>, bins array<tinyint>")
 
 
 # --- search ----------------------------------------------------------------------------------------------------------
@@ -246,6 +254,12 @@ def may_be_similar(n: Column, m: Column, other_n: Column, other_m: Column) -> Co
     return (100 + SIMILAR) * F.least(m, other_m) >= SIMILAR * (n + other_n)
 
 
+def may_overlap_enough(n: Column, bins: Column, other_n: Column, other_bins: Column) -> Column:
+    """The same by bins of the hash: two documents have at most the smaller of their numbers in each bin in common."""
+    most = F.aggregate(F.zip_with(bins, other_bins, lambda a, b: F.least(a, b).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.coalesce((100 + SIMILAR) * most >= SIMILAR * (n + other_n), F.lit(True))
+
+
 def t_occurrence(lists: list[list[int]], least: int) -> Iterator[int]:
     """The values that are in at least so many sorted lists, by merging the lists with a heap."""
     last, times = None, 0
@@ -301,7 +315,7 @@ def first_pairs(postings: DataFrame) -> DataFrame:
     return met.where(could).select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v")).distinct()
 
 
-def later_pairs(postings: DataFrame, components: DataFrame) -> DataFrame:
+def later_pairs(postings: DataFrame, components: DataFrame, documents: DataFrame) -> DataFrame:
     """Pairs of documents from different components that the lists suggest."""
     named = postings.join(components.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
     named = durable(named.select("hash", "key", "n", "m", F.coalesce("root", "key").alias("root")))
@@ -327,11 +341,13 @@ def later_pairs(postings: DataFrame, components: DataFrame) -> DataFrame:
     pairs = merged.mapInArrow(search, "u long, v long")
 
     long = mixed.where(F.col("docs") >= LONG).select("hash", "key", "n", "m", "root")
+    long = durable(long.join(documents.select("key", "bins"), "key"))
     sizes = long.groupBy("hash", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("hash").agg(F.max(F.struct("size", "root")).getField("root").alias("main"))
     outside = durable(long.join(durable(main), "hash").where(F.col("root") != F.col("main")))
-    other = long.select("hash", F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("m").alias("m_v"), F.col("root").alias("root_v"))
+    other = long.select("hash", F.col("key").alias("v"), F.col("n").alias("n_v"), F.col("m").alias("m_v"), F.col("root").alias("root_v"), F.col("bins").alias("bins_v"))
     could = may_be_similar(F.col("n"), F.col("m"), F.col("n_v"), F.col("m_v"))
+    could = could & may_overlap_enough(F.col("n"), F.col("bins"), F.col("n_v"), F.col("bins_v"))
     met = outside.join(other, "hash").where((F.col("root") != F.col("root_v")) & could)
     return pairs.unionByName(met.select(F.greatest("key", "v").alias("u"), F.least("key", "v").alias("v"))).distinct()
 
@@ -349,7 +365,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     postings = durable(documents.select("key", "n", shared_size.alias("m"), F.explode("lists").alias("hash")))
     links = durable(verified(durable(first_pairs(postings)), documents))
     components = connected_components(links)
-    more = durable(verified(durable(later_pairs(postings, components)), documents))
+    more = durable(verified(durable(later_pairs(postings, components, documents)), documents))
     if not more.isEmpty():
         components = connected_components(components.unionByName(more))
     rooted = classes.join(components.select(F.col("u").alias("key"), F.col("v").alias("root")), "key", "left")
