@@ -38,7 +38,7 @@ PER_CLASS, FEATURES, LEAST_DOCS = 4000, 1024, 4
 BEGINNINGS = range(3, 8)
 
 #: Swaps of a sentence with a term, sentences with terms, weight of the penalty.
-SWAPS, SENTENCES, PENALTY = 4, 20_000, 1.0
+SWAPS, SENTENCES, PENALTY = 4, 20_000, 10.0
 
 #: Shrinks the intercept. Most clean documents have no feature at all; without this their score would go on falling
 #: and a single toxic word would not make up for it.
