@@ -4,10 +4,12 @@ A document's features are which words and word beginnings it has, whatever their
 long document doesn't depend on its length. Features are selected by how much more often toxic documents of the sample
 have them. The classifier is a logistic regression with a counterfactual penalty: in labelled sentences that name a
 group, the term is swapped for the terms of other groups, and the squared change of the score (before the logistic
-function) is part of the loss. So a group's name adds nothing by itself, and neutral mentions aren't rejected.
+function) is part of the loss. So a group's name adds nothing by itself, and neutral mentions aren't rejected. Every
+mention of the sample counts, with its document's weight. Each term that is mentioned has the same part of the penalty,
+so that a term with very many mentions doesn't use up that of the others.
 
-The fit is made on a bounded sample of labelled documents (``PER_CLASS`` for each label), their feature counts come
-from a distributed aggregation; every document is scored whole.
+The fit is made on a bounded sample of labelled documents (``PER_CLASS`` for each label). Their feature counts and the
+swaps, of which only a bounded number differ, come from distributed aggregations; every document is scored whole.
 
 Defined results: null and empty texts have no features and get the intercept's score; a document without id is scored
 and not held out; without labels of both kinds every score is the share of toxic labels (0 without labels); repeated
@@ -37,8 +39,8 @@ PER_CLASS, FEATURES, LEAST_DOCS = 4000, 1024, 4
 #: Lengths of word beginnings.
 BEGINNINGS = range(3, 8)
 
-#: Swaps of a sentence with a term, sentences with terms, weight of the penalty.
-SWAPS, SENTENCES, PENALTY = 4, 20_000, 10.0
+#: Swaps of a mention, weight of the penalty.
+SWAPS, PENALTY = 4, 10.0
 
 #: Shrinks the intercept. Most clean documents have no feature at all; without this their score would go on falling
 #: and a single toxic word would not make up for it.
@@ -101,46 +103,81 @@ def select_features(sample: DataFrame, toxic: int, clean: int, terms: Iterable[s
     return list(dict.fromkeys([r["feature"] for r in best] + [f for t in terms for f in word_features(t)]))
 
 
-def swapped(text: str, terms: dict[str, int]) -> Iterator[tuple[set[str], set[str]]]:
-    """Features of each sentence that names a group, and of the same sentence with another group's name."""
+def swapped(text: str, terms: dict[str, int]) -> Iterator[tuple[int, list[str], list[str]]]:
+    """For each mention of a group and each other name in its place: the term's number, features that go and that come."""
     names = list(terms)
+    of_term = [word_features(name) for name in names]
+    watched = {f for features in of_term for f in features}
     for sentence in SENTENCE.findall(text.lower()):
         words = sentence.split()
-        for i, word in enumerate(words):
-            place = terms.get(word.strip(STRIPPED))
-            if place is not None:
-                rest = text_features(" ".join(words[:i] + words[i + 1 :]))
-                own = rest.union(word_features(word))
+        places = [place for word in words if (place := terms.get(word.strip(STRIPPED))) is not None]
+        if places:
+            held = Counter(f for word in words for f in word_features(word) if f in watched)
+            for place in places:
+                own = of_term[place]
                 for k in range(1, SWAPS + 1):
-                    yield own, rest.union(word_features(names[(place + k * 7) % len(names)]))
+                    other = of_term[(place + k * 7) % len(names)]
+                    # another word of the sentence may have a feature as well
+                    gone = [f for f in own if held[f] == 1 and f not in other]
+                    yield place, gone, [f for f in other if held[f] == 0]
 
 
-def sample_rows(sample: DataFrame, features: list[str], terms: Iterable[str]) -> list:
-    """For each sampled document its label, weight and feature numbers; for each swap the changes. A bounded number."""
+def sample_rows(sample: DataFrame, features: list[str]) -> list:
+    """For each sampled document its label, weight and feature numbers, in an order of their own. A bounded number."""
     number = {f: i for i, f in enumerate(features)}
-    place = {t: i for i, t in enumerate(terms)}
+    kinds = pa.schema([("label", pa.int32()), ("weight", pa.float64()), ("has", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, label, weight in zip(*(c.to_pylist() for c in batch.columns)):
-                has = [number[f] for f in text_features(text) if f in number]
-                rows.append({"label": label, "weight": weight, "has": has, "lacks": []})
-                for own, other in swapped(text, place):
-                    gone, come = own - other, other - own
-                    rows.append({"label": -1, "weight": weight, "has": [number[f] for f in gone if f in number], "lacks": [number[f] for f in come if f in number]})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("label", pa.int32()), ("weight", pa.float64()), ("has", pa.list_(pa.int32())), ("lacks", pa.list_(pa.int32()))]))
+                has = sorted(number[f] for f in text_features(text) if f in number)
+                rows.append({"label": label, "weight": weight, "has": has})
+            yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    made = sample.select("text", "label", "weight").mapInArrow(run, "label int, weight double, has array<int>")
+    return sorted(made.collect(), key=lambda r: (r["label"], r["has"], r["weight"]))
+
+
+def sample_swaps(sample: DataFrame, features: list[str], terms: Iterable[str]) -> list:
+    """(term, gone, come, weight): the different swaps of all mentions, by feature numbers, and what each weighs.
+
+    Word beginnings are nested, so a pair of terms has at most a few dozen different swaps, whatever the documents. Sums
+    are decimal, which no order of addition changes.
+    """
+    number = {f: i for i, f in enumerate(features)}
+    place = {t: i for i, t in enumerate(terms)}
+    kinds = pa.schema([("term", pa.int32()), ("gone", pa.list_(pa.int32())), ("come", pa.list_(pa.int32())), ("n", pa.int64()), ("weight", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, weight in zip(*(c.to_pylist() for c in batch.columns)):
+                found = Counter((term, *(tuple(sorted(number[f] for f in x if f in number)) for x in (gone, come))) for term, gone, come in swapped(text, place))
+                if found:
+                    rows = [{"term": term, "gone": gone, "come": come, "n": n, "weight": weight} for (term, gone, come), n in found.items()]
+                    yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    made = sample.select("text", "weight").mapInArrow(run, "term int, gone array<int>, come array<int>, n long, weight double")
+    weight = F.sum(F.col("weight").cast("decimal(18,6)") * F.col("n")).cast("double").alias("weight")
+    return sorted(made.groupBy("term", "gone", "come").agg(weight).collect())
+
+
+def swap_shares(swaps: list) -> np.ndarray:
+    """The part of the penalty that each swap has: equal parts for the terms, by weight within a term."""
+    total = Counter()
+    for row in swaps:
+        total[row["term"]] += row["weight"]
+    return np.array([row["weight"] / total[row["term"]] / len(total) for row in swaps])
 
-    made = sample.select("text", "label", "weight").mapInArrow(run, "label int, weight double, has array<int>, lacks array<int>")
-    docs = made.where(F.col("label") >= 0).collect()
-    return docs, made.where(F.col("label") < 0).limit(SENTENCES).collect()
 
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, share: np.ndarray, rounds: int = 1000, decay: float = 1e-5) -> np.ndarray:
+    """Weights (the last is the intercept) of least logistic loss with counterfactual penalty, by Adam.
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, rounds: int = 1000, decay: float = 1e-5) -> np.ndarray:
-    """Weights (the last is the intercept) of least logistic loss with counterfactual penalty, by Adam."""
+    ``share`` is the part of the penalty that each row of ``change`` has.
+    """
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     change = np.hstack([change, np.zeros((len(change), 1), x.dtype)])
+    share = share.astype(x.dtype)
     weight = weight / weight.sum()
     shrunk = np.full(x.shape[1], decay)
     shrunk[-1] = INTERCEPT_DECAY
@@ -151,7 +188,7 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, ro
         p = 1 / (1 + np.exp(-np.clip((x @ single).astype(float), -30, 30)))
         slope = x.T @ (weight * (p - y)).astype(x.dtype) + shrunk * w
         if len(change):
-            slope += 2 * PENALTY * (change.T @ (change @ single)) / len(change)
+            slope += 2 * PENALTY * (change.T @ (share * (change @ single)))
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         w = w - 0.1 * (mean / (1 - 0.9**i)) / (np.sqrt(square / (1 - 0.99**i)) + 1e-9)
     return w
@@ -159,21 +196,22 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarray, ro
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", terms: Iterable[str] = IDENTITY_TERMS, per_class: int = PER_CLASS) -> tuple[dict[str, float], float]:
     """(weight of each feature, intercept)."""
+    terms = list(dict.fromkeys(terms))
     sample = labelled_sample(docs, labels, label, FOLDS, HELD_OUT, per_class)
     counts = {bool(r["toxic"]): (r["n"], r["weight"]) for r in sample.groupBy((F.col("label") > 0).alias("toxic")).agg(F.count("*").alias("n"), F.sum("weight").alias("weight")).collect()}
     if len(counts) < 2:
         return {}, 30.0 if True in counts else -30.0
     features = select_features(sample, counts[True][0], counts[False][0], terms)
-    rows, swaps = sample_rows(sample, features, terms)
+    rows, swaps = sample_rows(sample, features), sample_swaps(sample, features, terms)
     x = np.zeros((len(rows), len(features)), np.float32)
     for i, row in enumerate(rows):
         x[i, row["has"]] = 1
     change = np.zeros((len(swaps), len(features)), np.float32)
     for i, row in enumerate(swaps):
-        change[i, row["has"]] += 1
-        change[i, row["lacks"]] -= 1
+        change[i, row["gone"]] += 1
+        change[i, row["come"]] -= 1
     y, weight = np.array([r["label"] > 0 for r in rows], float), np.array([r["weight"] for r in rows])
-    w = fit(x, y, weight, change)
+    w = fit(x, y, weight, change, swap_shares(swaps))
     return dict(zip(features, w[:-1].tolist())), float(w[-1])
 
 

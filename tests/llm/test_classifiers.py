@@ -67,6 +67,46 @@ def test_group_names_alone_are_not_toxic(spark, corpus):
     assert all(scorer.score(f"{name} so vile") > 0.7 for name in ("women", "muslims", "gay"))
 
 
+def test_swaps_are_those_of_whole_sentences():
+    """The features that go and come are the differences of two whole sentences."""
+    rng = random.Random(9)
+    place = {t: i for i, t in enumerate(toxicity.IDENTITY_TERMS)}
+    names, mentions = list(place), 0
+    for _ in range(300):
+        words = rng.choices([*names, "womenfolk", "old,", "(men)", "=man", "the", "whites"], k=rng.randint(1, 8))
+        got, want = list(toxicity.swapped(" ".join(words), place)), []
+        for i, word in enumerate(words):
+            at = place.get(word.strip(toxicity.STRIPPED))
+            if at is not None:
+                for k in range(1, toxicity.SWAPS + 1):
+                    put = " ".join([*words[:i], names[(at + k * 7) % len(names)], *words[i + 1 :]])
+                    own, other = toxicity.text_features(" ".join(words)), toxicity.text_features(put)
+                    want.append((at, own - other, other - own))
+        assert [(term, set(gone), set(come)) for term, gone, come in got] == want
+        mentions += len(want)
+    assert mentions > 1000
+
+
+def test_many_mentions_of_one_group_leave_the_penalty_of_others(spark, monkeypatch):
+    """Whatever the order of the documents, each group that is mentioned has its swaps in the fit."""
+    rng, names, fitted = random.Random(4), toxicity.IDENTITY_TERMS, []
+
+    def fit(*given):
+        fitted.append(given)
+        return np.zeros(given[0].shape[1] + 1)
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    texts = [" ".join([names[i % len(names)], *words(rng, 9)]) + "." + " men sat." * 300 for i in range(120)]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    features = list(toxicity.fit_toxicity(docs, labels)[0])
+    seen = {names[i % len(names)] for i in range(120) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(seen) > 30
+    change = fitted[0][3]
+    assert {name for name in names if (change[:, features.index(f"={name}")] > 0).any()} == seen
+    toxicity.fit_toxicity(docs.orderBy(F.desc("doc_id")), labels)
+    assert all(np.array_equal(a, b) for a, b in zip(*fitted, strict=True))
+
+
 def test_samples_are_bounded_and_weighted(spark, corpus):
     folder, _, _ = corpus
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
