@@ -8,7 +8,8 @@ k-th nearest distance is at most R: then everything nearer has had its chance, e
 ``CAUGHT``. The number of collisions that is enough follows from these two probabilities. Nothing caps the number of
 vectors that are verified, and windows grow until they hold everything if need be.
 
-One block is searched first; it bounds R for all other blocks. Directions come from a seed, the first R from distances
+One block is searched first; it bounds R for all other blocks. Windows are wider by the rounding error of a projection, so
+exact copies collide in all of them, also when R is 0. Directions come from a seed, the first R from distances
 between a bounded part of a block and of the queries. All rows are indexed and searched.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
@@ -70,6 +71,8 @@ def collision_counting(k: int, seed: int):
     def kernel(query: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, bound: np.ndarray) -> list[tuple]:
         directions = np.random.default_rng(seed).normal(size=(q.shape[1], PROJECTIONS))
         projected, own = x @ directions, q @ directions
+        # each of two projections of equal vectors is at most half of this from the exact one
+        slack = 2 * q.shape[1] * np.finfo(float).eps * (np.abs(q) @ np.abs(directions))
         order = np.argsort(projected, axis=0, kind="stable")
         arrays = [projected[order[:, j], j] for j in range(PROJECTIONS)]
         places = [np.ascontiguousarray(order[:, j]) for j in range(PROJECTIONS)]
@@ -81,8 +84,9 @@ def collision_counting(k: int, seed: int):
             verified[ids == name] = True
             held_ids, held = np.zeros(0, np.int64), np.zeros(0)
             while True:
-                low = [a.searchsorted(p - HALF * radius, "left") for a, p in zip(arrays, own[i])]
-                high = [a.searchsorted(p + HALF * radius, "right") for a, p in zip(arrays, own[i])]
+                half = HALF * radius + slack[i]
+                low = [a.searchsorted(p - h, "left") for a, p, h in zip(arrays, own[i], half)]
+                high = [a.searchsorted(p + h, "right") for a, p, h in zip(arrays, own[i], half)]
                 inside = np.concatenate([place[a:b] for place, a, b in zip(places, low, high)])
                 often = np.bincount(inside, minlength=len(ids)) >= least
                 new = np.flatnonzero(often & ~verified)

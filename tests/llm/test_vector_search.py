@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 from cohortspark.llm.inner_products import op3_exact_top_k, top_inner_products
-from cohortspark.llm.nearest import enough_collisions, nearest_neighbours, op4_nearest_neighbours
+from cohortspark.llm.nearest import collision_counting, enough_collisions, nearest_neighbours, op4_nearest_neighbours
 from pyspark.sql import functions as F
 
 
@@ -73,6 +73,17 @@ def test_neighbours_are_found(spark, seed, block):
             assert s == pytest.approx(distance(dict(rows)[q], dict(rows)[j]), abs=1e-12)
 
 
+@pytest.mark.parametrize("dim", [16, 64, 128])
+def test_copies_are_found_in_later_blocks(dim):
+    """With a bound of 0 from the first block, copies are found however their projections are rounded."""
+    rng = np.random.default_rng(dim)
+    x, kernel = rng.normal(size=(4096, dim)), collision_counting(10, 11)
+    for size in (1, 1, 1, 1, 263, 509):
+        at = rng.choice(len(x), size, replace=False)
+        found = kernel(10_000 + at, x[at], np.arange(len(x)), x, np.zeros(size))
+        assert [(ids.tolist(), scores.tolist()) for ids, scores in found] == [([i], [0.0]) for i in at]
+
+
 def test_collisions_needed():
     assert enough_collisions(10, 1.0, 0.9) == 10
     assert 0 < enough_collisions(48, 0.8, 0.99) < enough_collisions(48, 0.8, 0.5) < 48
