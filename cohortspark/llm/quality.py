@@ -6,8 +6,10 @@ document of a linear function of a hyperbolic tangent times a logistic gate), th
 encoded passages, and a logistic function of that is the score. All weights are learned together from labels of
 documents; no passage has a label.
 
-The fit is made on a bounded sample of labelled documents (``PER_CLASS`` for each label) with all their passages; every
-document is scored whole, with array operations over batches of texts.
+The fit is made on a bounded sample of labelled documents (``PER_CLASS`` for each label) with all their passages. If they
+have more than ``MOST_PASSAGES``, documents of each label are taken by a hash of the text, whatever their length, and
+weigh as much as all of the label; at least one of each label is taken, however long. Every document is scored whole,
+with array operations over batches of texts.
 
 Defined results: a null or empty text is one passage without characters; a document without id is scored and not held
 out; without labels of both kinds every score is 1 or 0 as the only label says (0 without labels); repeated rows get the
@@ -160,6 +162,30 @@ class Constant:
         return np.full(len(texts), self.value)
 
 
+def within(sample: DataFrame, most: int) -> DataFrame:
+    """The sampled rows, of at most ``most`` passages unless a single document has more than its label may have.
+
+    Only counts reach the driver, at most about twice ``PER_CLASS`` rows. Each label may have half of the passages, and
+    what the other leaves; its documents are taken in the order of a hash until the next one is too long.
+    """
+    place = F.xxhash64("text")
+    number = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / PASSAGE))
+    rows = sample.select((F.col("label") > 0).alias("good"), place.alias("place"), number.alias("n"), "weight").collect()
+    if sum(r["n"] for r in rows) <= most:
+        return sample
+    last, factor = F.lit(None).cast("long"), F.lit(1.0)
+    total = {good: sum(r["n"] for r in rows if r["good"] == good) for good in (True, False)}
+    for good in total:
+        held = sorted((r for r in rows if r["good"] == good), key=lambda r: r["place"])
+        if held:
+            may = max(most // 2, most - total[not good])
+            keep = max(1, int(np.searchsorted(np.cumsum([r["n"] for r in held]), may, side="right")))
+            weighs = sum(r["weight"] for r in held) / sum(r["weight"] for r in held[:keep])
+            last = F.when((F.col("label") > 0) == good, held[keep - 1]["place"]).otherwise(last)
+            factor = F.when((F.col("label") > 0) == good, weighs).otherwise(factor)
+    return sample.where(place <= last).withColumn("weight", F.col("weight") * factor)
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Attention | Constant:
     """The model of a bounded sample of labelled documents outside the held-out fold."""
     sample = labelled_sample(docs, labels, label, FOLDS, HELD_OUT, per_class)
@@ -174,14 +200,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first), pa.int64()), pa.array(rows, pa.binary())], ["label", "weight", "n", "x"])
                 done += len(part)
 
-    measured = sample.select("label", "weight", "text").mapInArrow(measure, "label int, weight double, n long, x binary")
-    rows = measured.collect()  # at most about twice PER_CLASS documents
+    measured = within(sample, MOST_PASSAGES).select("label", "weight", "text").mapInArrow(measure, "label int, weight double, n long, x binary")
+    rows = measured.collect()  # at most about twice PER_CLASS documents and MOST_PASSAGES
     y = np.array([r["label"] > 0 for r in rows], float)
     if not 0 < y.sum() < len(y):
         return Constant(float(len(y) > 0 and y[0]))
     rows.sort(key=lambda r: (r["n"], r["x"]))
-    keep = max(1, int(np.searchsorted(np.cumsum([r["n"] for r in rows]), MOST_PASSAGES)))
-    rows = rows[:keep]
     x = np.concatenate([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, MEASURES).astype(float)
     first = np.concatenate([[0], np.cumsum([r["n"] for r in rows])])
     y, weight = np.array([r["label"] > 0 for r in rows], float), np.array([r["weight"] for r in rows])

@@ -117,6 +117,22 @@ def test_samples_are_bounded_and_weighted(spark, corpus):
         assert 25 < len(got) < 90 and abs(sum(got) - every) < 0.5 * every
 
 
+def test_long_documents_are_learned_from(spark, monkeypatch):
+    """The bound on passages drops documents by chance, not the long ones, and neither label."""
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 5000) if i % 4 == 0 else [w + "$$$" for w in words(rng, 40)]) for i in range(320)]
+    docs, labels = documents(spark, texts), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(320)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "MOST_PASSAGES", 160)
+    model = quality.fit_quality(docs, labels)
+    assert model.score([texts[0].encode()])[0] > 0.7 and model.score([texts[1].encode()])[0] < 0.5
+    sample = labelled_sample(docs, labels, "quality", 4, 2, 4000)
+    every, kept = (df.select("label", "weight", F.octet_length("text").alias("n")).collect() for df in (sample, quality.within(sample, 160)))
+    assert sum(-(-r.n // quality.PASSAGE) for r in kept) <= 160
+    for label in (0, 1):
+        assert sum(r.weight for r in kept if r.label == label) == pytest.approx(sum(r.weight for r in every if r.label == label))
+    assert quality.within(sample, 10**6) is sample
+
+
 @pytest.mark.parametrize("fit, score", [(toxicity.fit_toxicity, toxicity.score_toxicity), (quality.fit_quality, quality.score_quality)])
 def test_no_labels_no_rows_and_extra_columns(spark, fit, score):
     docs = clashing(documents(spark, awkward_texts()))
