@@ -1,4 +1,4 @@
-"""Documents that share three quarters of their word shingles, by T-occurrence search over inverted lists.
+"""Documents that share three quarters of their word shingles, by prefix filtering over inverted lists.
 
 Only shingles that two different sets hold can be part of an overlap. So the shingles of all documents are dealt into
 buckets, each bucket finds which occur more than once and how often (counted up to ``LONG``), and tells the documents.
@@ -10,8 +10,8 @@ done. The others search:
 * First round: in each list, every document meets the one with the fewest shingles of its own. Verified links contract
   groups of near copies, which would have a number of pairs that grows with their square.
 * Second round: only lists with documents of different components are searched. For each document its short lists are
-  merged by a heap, occurrences of each partner counted, and partners that reach the required number of occurrences
-  kept. Long lists are not merged: only the documents outside the list's main component meet the others in it.
+  merged by a heap; a partner in any of them is a candidate, as one occurrence is all that this prefix of the lists
+  requires. Occurrences are not counted. Long lists are not merged: only the documents outside the list's main component meet the others in it.
 * Pairs are left out when the shared shingles of either document are too few for the overlap that both sizes ask for.
 * A pair is verified by binary probing of one sorted set with the elements of the other. The overlap is exact.
 
