@@ -8,11 +8,14 @@ the first time it is met and annotated with the change in the number of tokens,
 The table of transitions is thrown away and compiled anew when it is full.
 
 Texts are cut into chunks at any character. What a chunk does to the state before it is a map of states to states and
-counts. Wherever white space follows other characters, a pre-token ends whatever came before, so from the first such
-place on the map is the same for all states. A map is therefore kept as the characters before the first of these
-places, the tokens up to the last one, and the characters behind it; a chunk without such a place is kept as it is.
-Maps compose associatively. Chunks of long documents are dealt out over all tasks, and their maps are composed pairwise
-in a tree (the up-sweep of a prefix scan, whose total is all that a count needs).
+counts. Wherever white space follows other characters, a letter's run of letters or a digit's run of digits ends, a
+pre-token ends whatever came before, so from the first such place on the map is the same for all states. A map is
+therefore kept as the characters before the first of these places, the tokens up to the last one, and the characters
+behind it; a chunk without such a place (one run of letters, digits or marks only) is kept as it is. Places that may lie
+inside a special string are not taken. Maps compose associatively. Chunks of long documents are dealt out over all tasks,
+and their maps are composed pairwise in a tree (the up-sweep of a prefix scan, whose total is all that a count needs).
+Long documents are stored once with a number of their own, so chunks and rows cannot be told apart wrongly, whatever the
+rows come from.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; the special tokens of the file count as one token
 where their strings stand in a text; an empty table gives an empty result; repeated rows are counted row by row; further
@@ -34,6 +37,7 @@ from pyspark.sql import types as T
 from cohortspark.llm.byte_codec import byte_characters
 from cohortspark.llm.common import once, slices, table, text_of
 from cohortspark.llm.registry import query
+from cohortspark.sources.checkpoints import durable
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -48,8 +52,9 @@ LIMIT = 1024
 
 BLANKS_BEFORE_SPACE = regex.compile(r"\s ")
 
-#: Where white space follows something else: the first and the last of these places.
-SETTLED, LAST_SETTLED = regex.compile(r"(?<=\S)(?=\s)"), regex.compile(r"(?r)(?<=\S)(?=\s)")
+#: Where white space follows something else, and where a run of letters or digits ends: there a pre-token ends.
+_PLACE = r"(?<=\S)(?=\s)|(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})"
+SETTLED, LAST_SETTLED = regex.compile(_PLACE), regex.compile(f"(?r){_PLACE}")
 
 
 def read_tokenizer(path: str) -> dict:
@@ -195,6 +200,7 @@ class Counter:
         self.split = regex.compile(pattern).findall
         special = sorted(tokenizer["special"], key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.longest = max(map(len, special), default=1)
         self.pretokens = Remembered(lambda pretoken: transducer.count(pretoken.encode()))
         self.words = Remembered(lambda word: self.part(" " + word))
 
@@ -213,12 +219,21 @@ class Counter:
 
     def map_of(self, chunk: str) -> tuple[bool, str, int, str]:
         """What a chunk does: whether it has a settled place, the text before the first, tokens, text behind the last."""
-        first = SETTLED.search(chunk)
-        if first is None:
+        start = next((p for m in SETTLED.finditer(chunk) if self.outside_special(chunk, p := m.start())), None)
+        if start is None:
             return False, chunk, 0, ""
-        start, stop = first.start(), LAST_SETTLED.search(chunk).start()
+        stop = next(p for m in LAST_SETTLED.finditer(chunk) if self.outside_special(chunk, p := m.start()))
         return True, chunk[:start], self.tokens(chunk[start:stop]), chunk[stop:]
 
+    def outside_special(self, chunk: str, place: int) -> bool:
+        """Whether no special string can go on across a place, whatever stands around the chunk."""
+        if self.special is None or chunk[place].isspace():
+            return True  # special strings are without white space
+        reach = self.longest - 1
+        if place < reach or place + reach > len(chunk):
+            return False
+        return all(m.end() <= reach or m.start() >= reach for m in self.special.finditer(chunk[place - reach : place + reach]))
+
     def compose(self, left: tuple, right: tuple) -> tuple[bool, str, int, str]:
         """The map of two neighbouring chunks."""
         if not left[0]:
@@ -281,8 +296,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", c
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64())], ["key", "n_tokens"])
 
     short = rows.where(~long_text).mapInArrow(whole, counted)
-    # the same file partition in the same order gives the same key when a task runs again
-    long = rows.where(long_text).withColumn("key", F.monotonically_increasing_id())
+    long = durable(rows.where(long_text).withColumn("key", F.monotonically_increasing_id()))
     dealt = long.select("key", "text").mapInArrow(chunks, cut).repartition("key", "part")
     totals = dealt.mapInArrow(maps, mapped).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("part", "settled", "head", "n", "tail"))).alias("maps")

@@ -6,6 +6,7 @@ from cohortspark.llm.token_counts import LIMIT, VOCABULARY, Counter, count_token
 from helpers import awkward_texts, clashing, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path(VOCABULARY)
@@ -30,6 +31,34 @@ def test_chunks_compose_like_the_whole(text, size):
     assert COUNTER.total([COUNTER.map_of(p) for p in parts]) == library(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "a", "1", "|", "<|end", "oftext|>", " ", "é", "'s", "日本"]), max_size=25), st.integers(1, 30))
+def test_chunks_cut_inside_special_strings(parts, size):
+    text = "".join(parts)
+    chunks = [text[i : i + size] for i in range(0, len(text), size)] or [""]
+    assert COUNTER.total([COUNTER.map_of(c) for c in chunks]) == library(text)
+
+
+def test_texts_without_white_space_are_settled_inside_chunks():
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdefgh0123456789+/") for _ in range(20000))
+    maps = [COUNTER.map_of(text[i : i + 1000]) for i in range(0, len(text), 1000)]
+    assert all(settled and len(head) + len(tail) < 200 for settled, head, _, tail in maps)
+    assert COUNTER.total(maps) == library(text)
+
+
+def test_rows_from_any_plan(spark):
+    """Rows that were shuffled, joined or sorted before keep their own counts."""
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcé1,") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    docs = documents(spark, texts).repartition(5)
+    want = [(i, library(t)) for i, t in enumerate(texts)]
+    other = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 3).alias("third"))
+    for made in (docs.repartition(7), docs.join(other, "doc_id"), docs.orderBy("text"), docs.repartition(4, "n_chars").distinct()):
+        rows = count_tokens(made, PATH, public_tokenizers.PATTERN, chunk_chars=40).collect()
+        assert sorted((r.doc_id, r.n_tokens) for r in rows) == want
+
+
 def test_special_strings_count_once():
     text = "a<|endoftext|>b <|endoftext|>"
     assert COUNTER.tokens(text) == library(text)
