@@ -1,4 +1,4 @@
-"""Features of entities with very many observation windows, without a row per pair of event and window.
+"""Means of entities with very many observation windows, without a row per pair of event and window.
 
 All windows of a sweep step have the same length and whole seconds as ends. So events of an item within one second
 are in the same windows, and it is enough to know how many windows each such second is in. An event at second ``t``
@@ -13,11 +13,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortspark.operators.features import time_order
-
 
 def count_windows(
     events: DataFrame,
@@ -27,7 +25,6 @@ def count_windows(
     item: str,
     value: str,
     time: str,
-    tie_break: str,
     index_time: str,
     label: str,
     pred_hours: Sequence[int],
@@ -36,14 +33,13 @@ def count_windows(
     """Per entity, item, second and prediction gap: its readings in brief, and the number of windows per label.
 
     Columns: entity, item, ``_at`` (the second), ``pred_hours``, label, ``_windows``, ``_sum`` and ``_n`` of the
-    readings and the ``_latest`` of them. A label is any value that index rows of the entity have, NULL included; each
+    readings. A label is any value that index rows of the entity have, NULL included; each
     is counted by itself. Seconds in no window are left out.
     """
     span = obs_hours * 3600 + 1
     readings = events.groupBy(entity, item, F.unix_timestamp(time).alias("_at")).agg(
         F.sum(value).alias("_sum"),
         F.count(value).alias("_n"),
-        F.max_by(value, time_order(events, time, tie_break)).alias("_latest"),
     )
     gaps = F.explode(F.array(*[F.lit(hours) for hours in pred_hours])).alias("pred_hours")
     begin = F.col("_at") + F.col("pred_hours") * F.lit(3600)
@@ -53,7 +49,7 @@ def count_windows(
         .select("*", gaps)
         .withColumns({"_slice": F.floor(begin / span), "_offset": F.pmod(begin, F.lit(span))})
         .select(
-            entity, label, item, "_at", "pred_hours", "_sum", "_n", "_latest", "_offset",
+            entity, label, item, "_at", "pred_hours", "_sum", "_n", "_offset",
             F.inline(
                 F.array(
                     F.struct(F.col("_slice"), F.lit(True).alias("_to_end")),
@@ -76,29 +72,26 @@ def count_windows(
     below = F.sum("_index_rows").over(before)
     inside = F.when(F.col("_to_end"), F.sum("_index_rows").over(in_slice) - below).otherwise(below)
     parts = both.select("*", inside.alias("_inside")).where(~F.col("_is_index"))
-    known = ["_sum", "_n", "_latest"]
+    known = ["_sum", "_n"]
     per_second = parts.groupBy(entity, label, item, "_at", "pred_hours").agg(
         F.sum("_inside").alias("_windows"), *[F.first(c).alias(c) for c in known]
     )
     return per_second.where("_windows > 0").select(entity, item, "_at", "pred_hours", *known, label, "_windows")
 
 
-def wide_items_counted(
-    counted: DataFrame, keys: Sequence[str], items: Mapping[Any, str], *, item: str, agg: str = "latest"
-) -> DataFrame:
-    """One row per key with a column per declared item, from :func:`count_windows`.
+def _weighed(chosen: Column | None = None) -> Column:
+    """Mean of the readings, each counted once for every window that it is in; of the chosen ones only."""
+    total, number = F.col("_sum") * F.col("_windows"), F.col("_n") * F.col("_windows")
+    if chosen is not None:
+        total, number = F.when(chosen, total), F.when(chosen, number)
+    return F.sum(total) / F.nullif(F.sum(number), F.lit(0))
 
-    The latest value is that of the last second in any window; a mean weighs each reading by its windows.
-    """
-    if agg not in ("latest", "mean"):
-        raise ValueError(f"unknown aggregate {agg}")
-    columns = []
-    for code, name in items.items():
-        is_item = F.col(item) == F.lit(code)
-        if agg == "latest":
-            columns.append(F.max_by("_latest", F.when(is_item, F.col("_at"))).alias(name))
-        else:
-            total = F.sum(F.when(is_item, F.col("_sum") * F.col("_windows")))
-            number = F.sum(F.when(is_item, F.col("_n") * F.col("_windows")))
-            columns.append((total / F.nullif(number, F.lit(0))).alias(name))
-    return counted.groupBy(*keys).agg(*columns)
+
+def wide_means_counted(counted: DataFrame, keys: Sequence[str], items: Mapping[Any, str], *, item: str) -> DataFrame:
+    """One row per key with a column of means per declared item, from :func:`count_windows`."""
+    return counted.groupBy(*keys).agg(*[_weighed(F.col(item) == F.lit(code)).alias(name) for code, name in items.items()])
+
+
+def means_counted(counted: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFrame:
+    """Mean value of each item per key in long form, from :func:`count_windows`."""
+    return counted.groupBy(*keys, item).agg(_weighed().alias(value))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortspark.functions.sortable import share_key
 from cohortspark.operators.ordering import running_totals
 from cohortspark.sources.checkpoints import durable
 
@@ -139,11 +140,8 @@ def f_measure_points(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def best_f_threshold(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Largest F-measure and the highest threshold that attains it."""
-    best = F.max(F.struct("f_measure", "threshold")).alias("_best")
-    points = f_measure_points(counts, by)
-    return points.groupBy(*by).agg(best).select(
-        *by, F.col("_best.threshold").alias("threshold"), F.col("_best.f_measure").alias("f_measure")
-    )
+    points = f_measure_points(counts, by).withColumn("_order", share_key("f_measure", "threshold"))
+    return points.groupBy(*by).agg(F.max_by("threshold", "_order").alias("threshold"), F.max("f_measure").alias("f_measure"))
 
 
 # --- areas -------------------------------------------------------------------------------------------------------

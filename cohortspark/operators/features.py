@@ -8,15 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from decimal import Decimal
 from typing import Any
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
 
 from cohortspark.functions.columns import seconds_before
+from cohortspark.functions.sortable import order_key, pair_key
 from cohortspark.operators.joins import DEFAULT_SALTS, fits_in_broadcast, spread_join
 
 
@@ -84,30 +83,64 @@ def observation_window_join(
     return joined.withColumn("pred_hours", F.explode(inside))
 
 
-# --- one value per item ------------------------------------------------------------------------------------------
-
+def events_in_any_window(
+    events: DataFrame,
+    index: DataFrame,
+    *,
+    entity: str,
+    time: str,
+    index_time: str = "index_time",
+    label: str = "label",
+    pred_hours: int | Sequence[int] = 8,
+    obs_hours: int = 24,
+    salts: int | None = None,
+) -> DataFrame:
+    """Events with each label (and prediction gap) of their entity for which they fall into at least one window.
+
+    An event comes once for a label and gap, however many windows of these it is in: enough for latest values, and for
+    means that count an event once. Windows are merged before the join. All windows of a gap have the same length, so
+    with time cut into slices of that length, those that end in the slice of an event reach back to it exactly if the last
+    of them ends late enough, and those that end in the next slice if the first of them ends soon enough; further ones
+    never do. So an entity's windows shrink to two times for each slice, label and gap, by aggregation alone, and the join
+    on entity and slice meets one row for an event.
+    """
+    gaps = [pred_hours] if isinstance(pred_hours, int) else sorted(set(pred_hours))
+    span = obs_hours * 3600 + 1  # whole seconds of a window, both ends included
+    ends = index.select(entity, label, F.explode(F.array(*map(F.lit, gaps))).alias("pred_hours"), F.unix_timestamp(index_time).alias("_end"))
+    ends = ends.withColumn("_end", F.col("_end") - F.col("pred_hours") * 3600)
+    ends = ends.withColumn("_slice", F.floor(F.col("_end") / span))
+    keys = [entity, label, "pred_hours", "_slice"]
+    merged = ends.groupBy(*keys).agg(F.min("_end").alias("_first"), F.max("_end").alias("_last"))
+    nothing = F.lit(None).cast("bigint")
+    here = F.struct(F.col("_slice"), F.col("_last"), nothing.alias("_first"))
+    before = F.struct((F.col("_slice") - 1).alias("_slice"), nothing.alias("_last"), F.col("_first"))
+    merged = merged.select(*keys[:3], F.inline(F.array(here, before)))
+    merged = merged.groupBy(*keys).agg(F.max("_last").alias("_last"), F.min("_first").alias("_first"))
+    held = merged.groupBy(entity, "_slice").agg(F.collect_list(F.struct(label, "pred_hours", "_last", "_first")).alias("_windows"))
+    if salts is None:
+        salts = 1 if fits_in_broadcast(index) else DEFAULT_SALTS
+    at = F.unix_timestamp(time)
+    sliced = events.withColumn("_slice", F.floor(at / span))
+    joined = spread_join(sliced, held, [entity, "_slice"], "inner", max(salts, 1), [time])
+    reached = F.filter("_windows", lambda w: (w["_last"] >= at) | (w["_first"] < at + span))
+    columns = [c for c in events.columns if c not in (label, "pred_hours")]
+    found = joined.select(*columns, F.inline(reached)).drop("_last", "_first")
+    return found.drop("pred_hours") if isinstance(pred_hours, int) else found
 
-def time_order(df: DataFrame, time: str, tie_break: str) -> Column:
-    """What ``max_by`` orders events by: their time, then the tie-break.
 
-    With a whole-numbered tie-break both are packed into one decimal. Unlike a struct, that can be kept in a hash
-    aggregation, so map tasks reduce their events without sorting them. Missing tie-breaks come first.
-    """
-    if not isinstance(df.schema[tie_break].dataType, IntegralType):
-        return F.struct(time, tie_break)
-    micros = F.unix_micros(F.col(time).cast("timestamp")).cast("decimal(38,0)")
-    rank = F.coalesce(F.col(tie_break).cast("decimal(20,0)") + F.lit(Decimal(2**63 + 1)), F.lit(0).cast("decimal(21,0)"))
-    return (micros * F.lit(Decimal(10**20))).cast("decimal(38,0)") + rank
+# --- one value per item ------------------------------------------------------------------------------------------
 
 
 def latest_per_item(
     windowed: DataFrame, keys: Sequence[str], item: str, value: str, time: str, tie_break: str
 ) -> DataFrame:
-    """Latest value of each item per key; among equal times the largest ``tie_break`` decides.
+    """Latest value of each item per key; among equal times the largest ``tie_break`` decides, a missing one last.
 
-    ``max_by`` is reduced in the map tasks, so a key with very many events sends few rows.
+    ``max_by`` orders by one number, so it is reduced by hashing in the map tasks: a key with very many events sends few
+    rows, and no task sorts its events.
     """
-    return windowed.groupBy(*keys, item).agg(F.max_by(value, time_order(windowed, time, tie_break)).alias(value))
+    ordered = windowed.withColumn("_order", pair_key(windowed, time, tie_break))
+    return ordered.groupBy(*keys, item).agg(F.max_by(value, "_order").alias(value))
 
 
 def latest_per_item_ranked(
@@ -147,12 +180,13 @@ def wide_items(
     """One row per key with a column per declared item (``items`` maps item to column name), in one aggregation."""
     if agg not in ("latest", "mean"):
         raise ValueError(f"unknown aggregate {agg}")
-    order = time_order(windowed, time, tie_break)
+    if agg == "latest":
+        windowed = windowed.withColumn("_order", pair_key(windowed, time, tie_break))
     columns = []
     for code, name in items.items():
         is_item = F.col(item) == F.lit(code)
         if agg == "latest":
-            columns.append(F.max_by(value, F.when(is_item, order)).alias(name))
+            columns.append(F.max_by(value, F.when(is_item, F.col("_order"))).alias(name))
         else:
             columns.append(F.avg(F.when(is_item, F.col(value))).alias(name))
     return windowed.where(F.col(item).isin(*items)).groupBy(*keys).agg(*columns)
@@ -189,13 +223,10 @@ def dedupe_static(
     stays: DataFrame, entity: str, attributes: Mapping[str, Column], order_by: Sequence[str]
 ) -> DataFrame:
     """One row of attributes per entity, taken from its first stay in the given order."""
-    values = F.struct(*[c.alias(name) for name, c in attributes.items()])
-    return (
-        stays.where(F.col(entity).isNotNull())
-        .groupBy(entity)
-        .agg(F.min_by(values, F.struct(*order_by)).alias("_static"))
-        .select(entity, "_static.*")
+    described = stays.where(F.col(entity).isNotNull()).select(
+        entity, order_key(stays, list(order_by)).alias("_order"), *[c.alias(name) for name, c in attributes.items()]
     )
+    return described.groupBy(entity).agg(*[F.min_by(name, "_order").alias(name) for name in attributes])
 
 
 def attach_static(features: DataFrame, static: DataFrame, entity: str) -> DataFrame:

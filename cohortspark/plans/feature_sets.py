@@ -9,12 +9,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortspark.operators.crowded import count_windows, wide_items_counted
+from cohortspark.operators.crowded import count_windows, wide_means_counted
 from cohortspark.operators.features import (
     Rule,
     assemble_vectors,
     attach_static,
     dedupe_static,
+    events_in_any_window,
     observation_window_join,
     unpivot_static,
     wide_items,
@@ -23,7 +24,7 @@ from cohortspark.operators.features import (
 from cohortspark.operators.joins import semi_join, spread_join
 from cohortspark.sources.checkpoints import durable
 
-# An entity with more index rows than this gets its windows counted.
+# An entity with more index rows than this gets its windows counted when means are asked for.
 MANY_WINDOWS = 100
 
 
@@ -75,33 +76,38 @@ def feature_table(
     them, in a column ``pred_hours``, from one pass over the events.
 
     The events are reduced to wide rows in one aggregation and the score is an expression over these, so that
-    after the join with the index only reduced rows are shuffled. Entities with more than ``many_windows`` index
-    rows are not joined at all: how many windows an event is in is counted instead, with the same result.
+    after the join with the index only reduced rows are shuffled. For latest values the windows of an entity are merged
+    before the join, however many there are. A mean counts an event once for each window; entities with more than
+    ``many_windows`` index rows are not joined at all then: how many windows an event is in is counted instead, with the
+    same result.
     """
+    if agg not in ("latest", "mean"):
+        raise ValueError(f"unknown aggregate {agg}")
     index = durable(index)
     swept = [] if isinstance(pred_hours, int) else ["pred_hours"]
     keys = [spec.entity, spec.label, *swept]
     wanted = events.where(F.col(spec.item).isin(*spec.items)).select(
         *dict.fromkeys([spec.entity, spec.item, spec.value, spec.time, spec.tie_break])
     )
-    crowded = index.groupBy(spec.entity).count().where(F.col("count") > many_windows).select(spec.entity)
-    any_crowded = not crowded.isEmpty()
-    joinable = spread_join(index, crowded, spec.entity, "left_anti") if any_crowded else index
-    windowed = observation_window_join(
-        wanted, joinable, entity=spec.entity, time=spec.time, index_time=spec.index_time, pred_hours=pred_hours,
-        obs_hours=obs_hours, salts=salts,
-    )
+    within = {"entity": spec.entity, "time": spec.time, "index_time": spec.index_time, "pred_hours": pred_hours, "obs_hours": obs_hours}
+    if agg == "latest":
+        windowed = events_in_any_window(wanted, index, label=spec.label, salts=salts, **within)
+        any_crowded = False
+    else:
+        crowded = index.groupBy(spec.entity).count().where(F.col("count") > many_windows).select(spec.entity)
+        any_crowded = not crowded.isEmpty()
+        joinable = spread_join(index, crowded, spec.entity, "left_anti") if any_crowded else index
+        windowed = observation_window_join(wanted, joinable, salts=salts, **within)
     wide = wide_items(
         windowed, keys, spec.items, item=spec.item, value=spec.value, time=spec.time, tie_break=spec.tie_break, agg=agg
     )
     if any_crowded:
         counted = count_windows(
             semi_join(wanted, crowded, spec.entity), semi_join(index, crowded, spec.entity), entity=spec.entity,
-            item=spec.item, value=spec.value, time=spec.time, tie_break=spec.tie_break, index_time=spec.index_time,
-            label=spec.label, pred_hours=[pred_hours] if isinstance(pred_hours, int) else sorted(set(pred_hours)),
-            obs_hours=obs_hours,
+            item=spec.item, value=spec.value, time=spec.time, index_time=spec.index_time, label=spec.label,
+            pred_hours=[pred_hours] if isinstance(pred_hours, int) else sorted(set(pred_hours)), obs_hours=obs_hours,
         )
-        wide = wide.unionByName(wide_items_counted(counted, keys, spec.items, item=spec.item, agg=agg))
+        wide = wide.unionByName(wide_means_counted(counted, keys, spec.items, item=spec.item))
     scored = wide.withColumn(spec.score, wide_score(spec.rules, spec.items))
     if spec.static:
         static = dedupe_static(stays, spec.entity, spec.static_columns(), spec.stay_order)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortspark.functions.columns import category_code, replace_sentinel
 from cohortspark.operators import features as feature_ops
 from cohortspark.operators import timeframe
+from cohortspark.operators.crowded import count_windows, means_counted
 from cohortspark.operators.features import Rule
 from cohortspark.operators.joins import join_demographics
 from cohortspark.plans.feature_sets import MANY_WINDOWS, FeatureSpec, feature_table, long_feature_table
@@ -75,16 +76,26 @@ def index_frame(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def measured(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").where(F.col("event_type").isin(*ITEMS)).drop("props")
+
+
 def windowed_frame(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events").where(F.col("event_type").isin(*ITEMS)).drop("props")
     return feature_ops.observation_window_join(
-        events, index_frame(spark, folder), entity="user_id", time="ts", pred_hours=8, obs_hours=24
+        measured(spark, folder), index_frame(spark, folder), entity="user_id", time="ts", pred_hours=8, obs_hours=24
+    )
+
+
+def covered_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event once for each label that it is in a window of."""
+    return feature_ops.events_in_any_window(
+        measured(spark, folder), index_frame(spark, folder), entity="user_id", time="ts", pred_hours=8, obs_hours=24
     )
 
 
 def latest_frame(spark: SparkSession, folder: str) -> DataFrame:
     return feature_ops.latest_per_item(
-        windowed_frame(spark, folder), KEYS, "event_type", "value", "ts", "event_id"
+        covered_frame(spark, folder), KEYS, "event_type", "value", "ts", "event_id"
     )
 
 
@@ -239,7 +250,12 @@ def latest_per_item(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"{INDEX_CTE}, {WINDOW_CTE}, {MEAN_CTE} SELECT user_id, label, event_type, round(value, 6) AS value FROM lat")
 def mean_per_item(spark: SparkSession, folder: str) -> DataFrame:
-    return mean_frame(spark, folder).withColumn("value", F.round("value", 6))
+    """From the number of windows that each second is in, so that no event is joined to its windows."""
+    counted = count_windows(
+        measured(spark, folder), durable(index_frame(spark, folder)), entity="user_id", item="event_type", value="value",
+        time="ts", index_time="index_time", label="label", pred_hours=[8], obs_hours=24,
+    )
+    return means_counted(counted, KEYS, "event_type", "value").withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -250,9 +266,7 @@ FROM (SELECT DISTINCT user_id, label, event_type, event_id, value FROM w) GROUP
 """
 )
 def mean_per_item_once(spark: SparkSession, folder: str) -> DataFrame:
-    means = feature_ops.mean_per_item(
-        windowed_frame(spark, folder), KEYS, "event_type", "value", dedupe_on=["event_id"]
-    )
+    means = feature_ops.mean_per_item(covered_frame(spark, folder), KEYS, "event_type", "value")
     return means.withColumn("value", F.round("value", 6))
 
 
@@ -339,8 +353,11 @@ def pivoted_features(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(WIDE_SQL)
 def wide_features_counted(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with the windows of every entity counted instead of joined."""
-    return filled(feature_frame(spark, folder, many_windows=0))
+    """The same from latest values in long form, each event joined to one row for all windows of its slice of time."""
+    wide = feature_ops.pivot_items(latest_frame(spark, folder), KEYS, ITEMS, "event_type", "value", fill=None)
+    scored = wide.withColumn("score", feature_ops.wide_score(RULES, ITEMS))
+    static = feature_ops.dedupe_static(described_stays(spark, folder), "user_id", SPEC.static_columns(), SPEC.stay_order)
+    return filled(feature_ops.attach_static(scored, static, "user_id")).select(*KEYS, *FEATURE_COLUMNS)
 
 
 def crowded_sql(value: str) -> str:
@@ -356,7 +373,7 @@ SELECT user_id, label, {columns} FROM w GROUP BY 1, 2
 
 
 def crowded_frame(spark: SparkSession, folder: str, agg: str) -> DataFrame:
-    """Five entities with every event of theirs as an index row, and labels 0, 1, 2 and NULL: windows are counted."""
+    """Five entities with every event of theirs as an index row, and labels 0, 1, 2 and NULL."""
     events = table(spark, folder, "events").withColumn("user_id", F.col("user_id") % 5)
     label = F.nullif(F.col("event_id") % 4, F.lit(3)).cast("int")
     index = events.select("user_id", F.col("ts").alias("index_time"), label.alias("label"))

@@ -11,6 +11,7 @@ from cohortspark.operators.features import (
     assemble_vectors,
     declared_items,
     dedupe_static,
+    events_in_any_window,
     feature_index,
     latest_per_item,
     latest_per_item_ranked,
@@ -105,6 +106,35 @@ def test_window_edges_are_inclusive_whole_seconds(spark, rows):
         assert rows(joined, "id") == [(1,), (3,)]
 
 
+@pytest.mark.parametrize("salts", [None, 1, 5])
+@pytest.mark.parametrize("pred_hours, obs_hours", [(2, 10), (0, 0), ([0, 1, 7], 5), ([3], 40)])
+def test_events_come_once_for_a_label_however_many_windows(spark, crowd, rows, salts, pred_hours, obs_hours):
+    events, index, data, index_data = crowd
+    more = [(1, T0 - S * (1800 * k), k % 3 or None) for k in range(60)]  # overlapping windows, with a missing label
+    found = events_in_any_window(
+        events, index.unionByName(index_of(spark, more)), entity="e", time="t", pred_hours=pred_hours, obs_hours=obs_hours, salts=salts
+    )
+    gaps = [pred_hours] if isinstance(pred_hours, int) else pred_hours
+    want = {
+        (i, label, gap) for i, e, _, t, _ in data for k, at, label in [*index_data, *more] for gap in gaps
+        if k == e and in_window(at, t, gap, obs_hours)
+    }
+    swept = found if not isinstance(pred_hours, int) else found.withColumn("pred_hours", F.lit(pred_hours))
+    assert rows(swept, "id", "label", "pred_hours") == sorted(want, key=repr)
+    assert found.columns == ["id", "e", "item", "t", "value", "label", *([] if isinstance(pred_hours, int) else ["pred_hours"])]
+
+
+def test_merged_windows_join_an_event_once(spark):
+    """One entity with every event as an index row: as many rows leave the join as there are events."""
+    events = spark.range(3000).select("id", F.lit(1).cast("long").alias("e"), F.timestamp_seconds(F.col("id") * 60).alias("t"))
+    index = events.select("e", F.col("t").alias("index_time"), (F.col("id") % 2).alias("label"))
+    found = events_in_any_window(events, index, entity="e", time="t", pred_hours=[1, 2], obs_hours=24)
+    rows = found.count()
+    assert rows == sum(min(2, max(0, 3000 - i - 60 * p)) for i in range(3000) for p in (1, 2))
+    joined = observation_window_join(events, index, entity="e", time="t", pred_hours=[1, 2], obs_hours=24).count()
+    assert joined > 500 * rows
+
+
 def windowed(crowd):
     events, index, _, _ = crowd
     return observation_window_join(events, index, entity="e", time="t", pred_hours=2, obs_hours=20)
@@ -222,11 +252,26 @@ def test_a_limit_on_windows_changes_no_row(spark, stays, rows, agg):
 def test_latest_values_are_reduced_by_hashing(crowd):
     events, index, _, _ = crowd
     windowed = observation_window_join(events, index, entity="e", time="t", pred_hours=2, obs_hours=10)
-    for df in (latest_per_item(windowed, KEYS, "item", "value", "t", "id"), wide_items(windowed, KEYS, ITEMS, item="item", value="value", time="t", tie_break="id")):
+    stays = windowed.select("e", "t", "id", "value")
+    made = [dedupe_static(stays, "e", {"v": F.col("value")}, ["t", "id"]), dedupe_static(stays, "e", {"v": F.col("value")}, ["t", "value"])]
+    for tie in ("id", "value"):
+        made.append(latest_per_item(windowed, KEYS, "item", "value", "t", tie))
+        made.append(wide_items(windowed, KEYS, ITEMS, item="item", value="value", time="t", tie_break=tie))
+    for df in made:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_ties_between_numbers_that_are_hard_to_order(spark, rows):
+    nan, inf = float("nan"), float("inf")
+    cases = {"a": [None, -inf, -1.5], "b": [5e-324, 0.0, -0.0], "c": [1.0, nan, inf], "d": [None, None, None], "z": [-5e-324, -2.0, -0.0]}
+    data = [(1, 0, k, T0 - S * late, v) for k, values in cases.items() for v in values for late in (0, 1)]
+    w = spark.createDataFrame(data, "e long, label int, item string, t timestamp, value double").repartition(5)
+    ranked = latest_per_item_ranked(w, KEYS, "item", "value", "t", "value")
+    got = latest_per_item(w, KEYS, "item", "value", "t", "value")
+    assert repr(rows(got)) == repr(rows(ranked))
+
+
 def test_events_meet_only_near_windows(spark):
     """One entity with 2,000 windows and 2,000 events over 2,000 days: an event is joined to few of them."""
     day = 86400
@@ -250,7 +295,7 @@ def test_counting_emits_no_pairs(spark):
         (F.col("id") % 2).cast("int").alias("label"),
     )
     counted = count_windows(
-        events, index, entity="e", item="item", value="value", time="t", tie_break="id", index_time="index_time",
+        events, index, entity="e", item="item", value="value", time="t", index_time="index_time",
         label="label", pred_hours=[1], obs_hours=1,
     )
     joins = [x for x in counted._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
