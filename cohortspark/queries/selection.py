@@ -26,6 +26,7 @@ from cohortspark.operators.filters import (
     not_in_literals,
 )
 from cohortspark.operators.joins import join_demographics, semi_join
+from cohortspark.operators.pattern_table import exclude_any_of, match_any_of, matched_patterns
 from cohortspark.operators.timeframe import table_counts as count_tables
 from cohortspark.queries.registry import query, table
 from cohortspark.sources.tables import distinct_lower
@@ -107,6 +108,41 @@ def dictionary_like_any(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "lang", "n_chars")
 
 
+PHRASES_CTE = """
+WITH w AS (SELECT string_split(lower(text), ' ') AS words FROM benchmark),
+ p AS (SELECT DISTINCT '%' || words[i] || ' ' || words[i + 1] || '%' AS pattern
+       FROM (SELECT words, unnest(range(1, len(words))) AS i FROM w)
+       UNION SELECT DISTINCT '%' || p_name || '_%s' FROM part),
+ m AS (SELECT doc_id, pattern FROM documents JOIN p ON lower(text) LIKE pattern)"""
+
+
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """A dictionary of thousands of LIKE patterns: neighbouring words of the benchmark, and names of parts."""
+    words = F.split(F.lower("text"), " ")
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1))), lambda a, b: F.concat(F.lit("%"), a, F.lit(" "), b, F.lit("%")))
+    found = table(spark, folder, "benchmark").select(F.explode(pairs).alias("pattern"))
+    names = table(spark, folder, "part").select(F.concat(F.lit("%"), "p_name", F.lit("_%s")).alias("pattern"))
+    return found.unionByName(names).distinct()
+
+
+@query(f"{PHRASES_CTE} SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM m)")
+def pattern_table_any(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text")
+    return match_any_of(docs, "text", phrases(spark, folder)).select("doc_id", "lang", "n_chars")
+
+
+@query(f"{PHRASES_CTE} SELECT doc_id, lang, n_chars FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM m)")
+def pattern_table_none(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "n_chars", "text")
+    return exclude_any_of(docs, "text", phrases(spark, folder)).select("doc_id", "lang", "n_chars")
+
+
+@query(f"{PHRASES_CTE} SELECT doc_id, pattern FROM m")
+def pattern_table_matches(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return matched_patterns(docs, "text", phrases(spark, folder)).select("doc_id", F.explode("patterns").alias("pattern"))
+
+
 @query(
     """
 SELECT DISTINCT lower(p_name) AS value FROM part
