@@ -11,11 +11,11 @@ from cohortspark.functions.columns import category_code, replace_sentinel
 from cohortspark.operators.features import Rule
 from cohortspark.operators.timeframe import index_dates
 from cohortspark.plans import fixed_values as fixed
-from cohortspark.plans.cohort import build_cohort, clean_cultures, clean_prescriptions, clean_vitals
+from cohortspark.plans.cohort import KEY_TYPE, build_cohort, clean_cultures, clean_prescriptions, clean_vitals
 from cohortspark.plans.dictionaries import antibiotics
 from cohortspark.plans.feature_sets import FeatureSpec, feature_table, feature_vectors
 from cohortspark.sources.checkpoints import checkpoint_or_reload, durable
-from cohortspark.sources.tables import read_csv_table, read_dictionary_ids, read_dictionary_text
+from cohortspark.sources.tables import read_csv_table, read_dictionary_ids, read_dictionary_text, read_typed_csv
 from cohortspark.sources.vectors import feature_set_path, write_libsvm
 
 
@@ -37,25 +37,31 @@ def clinical_spec() -> FeatureSpec:
 
 
 def record_steps(
-    raw: Callable[[str], DataFrame], drugs: DataFrame, null_time: str = "epoch", vitals: DataFrame | None = None
+    raw: Callable[[str], DataFrame], drugs: DataFrame, null_time: str = "epoch", vitals: DataFrame | None = None,
+    key_type: str = KEY_TYPE,
 ) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
     """How each of the four record tables comes from the five raw ones (by name) and the cohort of stays."""
     return {
-        "icustays": lambda done: build_cohort(raw("PATIENTS"), raw("ICUSTAYS")),
+        "icustays": lambda done: build_cohort(raw("PATIENTS"), raw("ICUSTAYS"), key_type=key_type),
         "prescriptions": lambda done: clean_prescriptions(
-            raw("PRESCRIPTIONS"), done["icustays"], drugs, null_time=null_time
+            raw("PRESCRIPTIONS"), done["icustays"], drugs, null_time=null_time, key_type=key_type
+        ),
+        "microbiologyevents": lambda done: clean_cultures(
+            raw("MICROBIOLOGYEVENTS"), done["icustays"], key_type=key_type
         ),
-        "microbiologyevents": lambda done: clean_cultures(raw("MICROBIOLOGYEVENTS"), done["icustays"]),
         "chartevents": lambda done: clean_vitals(
-            raw("CHARTEVENTS"), done["icustays"], items=tuple(fixed.VITAL_ITEMS) if vitals is None else vitals
+            raw("CHARTEVENTS"), done["icustays"], items=tuple(fixed.VITAL_ITEMS) if vitals is None else vitals,
+            key_type=key_type,
         ),
     }
 
 
-def clean_records(raw: dict[str, DataFrame], drugs: DataFrame, null_time: str = "epoch") -> dict[str, DataFrame]:
+def clean_records(
+    raw: dict[str, DataFrame], drugs: DataFrame, null_time: str = "epoch", key_type: str = KEY_TYPE
+) -> dict[str, DataFrame]:
     """The four record tables; only the stays, which all the others are filtered by, are written in between."""
     records: dict[str, DataFrame] = {}
-    for name, step in record_steps(raw.__getitem__, drugs, null_time).items():
+    for name, step in record_steps(raw.__getitem__, drugs, null_time, key_type=key_type).items():
         records[name] = durable(step(records)) if name == "icustays" else step(records)
     return records
 
@@ -88,9 +94,39 @@ def clinical_features(
     )
 
 
+#: The columns of the raw files that are used, with their types; other columns of a file are left unread.
+RAW_TYPES: dict[str, dict[str, str]] = {
+    "PATIENTS": {"SUBJECT_ID": "INT", "GENDER": "STRING", "DOB": "TIMESTAMP", "DOD": "TIMESTAMP", "EXPIRE_FLAG": "INT"},
+    "ICUSTAYS": {
+        "SUBJECT_ID": "INT", "HADM_ID": "INT", "ICUSTAY_ID": "INT", "DBSOURCE": "STRING", "INTIME": "TIMESTAMP",
+        "OUTTIME": "TIMESTAMP",
+    },
+    "PRESCRIPTIONS": {
+        "SUBJECT_ID": "INT", "HADM_ID": "INT", "ICUSTAY_ID": "INT", "STARTDATE": "TIMESTAMP", "ENDDATE": "TIMESTAMP",
+        "DRUG_TYPE": "STRING", "DRUG": "STRING", "DOSE_VAL_RX": "STRING", "DOSE_UNIT_RX": "STRING", "ROUTE": "STRING",
+    },
+    "MICROBIOLOGYEVENTS": {
+        "SUBJECT_ID": "INT", "HADM_ID": "INT", "CHARTDATE": "TIMESTAMP", "CHARTTIME": "TIMESTAMP", "SPEC_ITEMID": "INT",
+    },
+    "CHARTEVENTS": {
+        "SUBJECT_ID": "INT", "HADM_ID": "INT", "ICUSTAY_ID": "INT", "ITEMID": "INT", "CHARTTIME": "TIMESTAMP",
+        "VALUENUM": "DOUBLE", "ERROR": "INT",
+    },
+}
+
+
 def read_raw_table(spark: SparkSession, folder: str, name: str, schemas: dict[str, str] | None = None) -> DataFrame:
-    """One of the raw files of a folder, also as a view of its name. A file without a schema is inferred."""
-    return read_csv_table(spark, f"{folder}/{name}.csv", (schemas or {}).get(name))
+    """One of the raw files of a folder, also as a view of its name.
+
+    Columns are found by the names in the header and have fixed types; lines that do not fit them are in the view
+    ``<name>_rejected``. A schema of the caller's own is taken as it is, for all columns by their place.
+    """
+    path = f"{folder}/{name}.csv"
+    if schemas is not None and name in schemas:
+        return read_csv_table(spark, path, schemas[name])
+    good, rejected = read_typed_csv(spark, path, RAW_TYPES[name])
+    rejected.createOrReplaceTempView(f"{name}_rejected")
+    return good
 
 
 def run_clinical(

@@ -23,9 +23,17 @@ from cohortspark.operators.joins import join_demographics, semi_join
 from cohortspark.operators.records import project_record
 from cohortspark.plans import fixed_values as fixed
 
-# Fields that the records share.
-PERSON = {"subjectID": ("SUBJECT_ID", "int"), "hadmID": ("HADM_ID", "int")}
-STAY = {"icustayID": ("ICUSTAY_ID", "int")}
+# Type of ids in records unless another one is asked for (``bigint`` where ids outgrow it).
+KEY_TYPE = "int"
+
+
+def person_fields(key_type: str) -> dict[str, tuple[str, str]]:
+    """Fields that all records share."""
+    return {"subjectID": ("SUBJECT_ID", key_type), "hadmID": ("HADM_ID", key_type)}
+
+
+def stay_fields(key_type: str) -> dict[str, tuple[str, str]]:
+    return {**person_fields(key_type), "icustayID": ("ICUSTAY_ID", key_type)}
 
 
 def build_cohort(
@@ -36,6 +44,7 @@ def build_cohort(
     low_age: float = 15.0,
     high_age: float = 90.0,
     salts: int | None = None,
+    key_type: str = KEY_TYPE,
 ) -> DataFrame:
     """Stays of one source whose person is within the age band on the day of admission."""
     kept = filter_equals(
@@ -46,8 +55,7 @@ def build_cohort(
     return project_record(
         joined,
         {
-            **PERSON,
-            **STAY,
+            **stay_fields(key_type),
             "inTime": ("INTIME", "timestamp"),
             "outTime": ("OUTTIME", "timestamp"),
             "dod": ("DOD", "timestamp"),
@@ -67,6 +75,7 @@ def clean_prescriptions(
     routes: Sequence[str] = fixed.ROUTES,
     null_time: str = "epoch",
     salts: int | None = None,
+    key_type: str = KEY_TYPE,
 ) -> DataFrame:
     """Orders of listed drugs by listed routes within cohort stays.
 
@@ -86,8 +95,7 @@ def clean_prescriptions(
     return project_record(
         kept,
         {
-            **PERSON,
-            **STAY,
+            **stay_fields(key_type),
             "startDate": (start, "timestamp"),
             "endDate": (end, "timestamp"),
             "drug": ("DRUG", "string"),
@@ -98,16 +106,17 @@ def clean_prescriptions(
 
 
 def clean_cultures(
-    microbiology: DataFrame, cohort: DataFrame, *, specimen: int = fixed.BLOOD_CULTURE_SPECIMEN, salts: int | None = None
+    microbiology: DataFrame, cohort: DataFrame, *, specimen: int = fixed.BLOOD_CULTURE_SPECIMEN, salts: int | None = None,
+    key_type: str = KEY_TYPE,
 ) -> DataFrame:
     """Cultures of one specimen from persons of the cohort, at their time or else on their date."""
     kept = semi_join(filter_equals(microbiology, SPEC_ITEMID=specimen), cohort, "SUBJECT_ID", "subjectID", salts)
-    return project_record(kept, {**PERSON, "chartDate": (first_present("CHARTTIME", "CHARTDATE"), "timestamp")})
+    return project_record(kept, {**person_fields(key_type), "chartDate": (first_present("CHARTTIME", "CHARTDATE"), "timestamp")})
 
 
 def clean_vitals(
     chart: DataFrame, cohort: DataFrame, *, items: Sequence[int] | DataFrame = tuple(fixed.VITAL_ITEMS),
-    salts: int | None = None,
+    salts: int | None = None, key_type: str = KEY_TYPE,
 ) -> DataFrame:
     """Numeric readings of the listed items, free of errors, within cohort stays.
 
@@ -122,8 +131,7 @@ def clean_vitals(
     return project_record(
         semi_join(readings, cohort, "ICUSTAY_ID", "icustayID", salts),
         {
-            **PERSON,
-            **STAY,
+            **stay_fields(key_type),
             "itemID": ("ITEMID", "int"),
             "chartTime": ("CHARTTIME", "timestamp"),
             "value": ("VALUENUM", "double"),

@@ -1,7 +1,7 @@
 """The clinical preset over raw tables that Spark derives from ``events``, ``customer``, ``part`` and ``orders``.
 
-Users become patients and admissions, ten days of a user a stay, sign-ups drug orders, errors cultures and the other
-events chart readings. The number in ``props`` and the value decide on codes, units and gaps, so that every filter
+Users become patients, fifteen days of a user an admission and five days a stay, sign-ups drug orders, errors cultures
+and the other events chart readings; ids of persons, admissions and stays are different numbers. The number in ``props`` and the value decide on codes, units and gaps, so that every filter
 has rows to keep and rows to drop. The same derivation is written as SQL for the comparison.
 """
 
@@ -48,9 +48,10 @@ SHORT_TITLE = "CASE WHEN p_size >= 20 AND p_size < 24 THEN 'Septic Shock' ELSE p
 def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     events = table(spark, folder, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     start = F.lit("2024-01-01").cast("date")
-    stay = F.floor(F.datediff("ts", start) / 10).cast("bigint")
-    of_user = [F.col("user_id").alias("SUBJECT_ID"), F.col("user_id").alias("HADM_ID")]
-    keys = [*of_user, (F.col("user_id") * 10 + stay).alias("ICUSTAY_ID")]
+    day = F.datediff("ts", start)
+    admission, stay = F.floor(day / 15).cast("bigint"), F.floor(day / 5).cast("bigint")
+    of_user = [F.col("user_id").alias("SUBJECT_ID"), (F.col("user_id") * 3 + admission + 1_000_000).alias("HADM_ID")]
+    keys = [*of_user, (F.col("user_id") * 10 + stay + 2_000_000).alias("ICUSTAY_ID")]
 
     def of_kind(*kinds: str) -> DataFrame:
         return events.where(F.col("event_type").isin(*kinds))
@@ -96,7 +97,7 @@ def raw_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def records(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return clean_records(raw_tables(spark, folder), dictionaries.antibiotics(spark))
+    return clean_records(raw_tables(spark, folder), dictionaries.antibiotics(spark), key_type="bigint")
 
 
 def _listed(values: tuple[str, ...]) -> str:
@@ -107,8 +108,8 @@ _DAYS = "cast(date_diff('day', DOB, INTIME::DATE) AS DECIMAL(18, 0))"
 
 RECORDS_CTE = f"""
 WITH ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k,
-              user_id AS SUBJECT_ID, user_id AS HADM_ID,
-              user_id * 10 + date_diff('day', DATE '2024-01-01', ts::DATE) // 10 AS ICUSTAY_ID FROM events),
+              user_id AS SUBJECT_ID, user_id * 3 + date_diff('day', DATE '2024-01-01', ts::DATE) // 15 + 1000000 AS HADM_ID,
+              user_id * 10 + date_diff('day', DATE '2024-01-01', ts::DATE) // 5 + 2000000 AS ICUSTAY_ID FROM events),
  patients AS (SELECT c_custkey AS SUBJECT_ID, CAST(DATE '2009-06-01' - CAST(floor(c_acctbal * 3) AS INT) AS DATE) AS DOB,
               CASE WHEN c_mktsegment = 'FURNITURE' THEN TIMESTAMP '2024-06-01 00:00:00' END AS DOD, {GENDER} AS GENDER,
               CASE WHEN c_mktsegment = 'FURNITURE' THEN 1 ELSE 0 END AS EXPIRE_FLAG FROM customer),
@@ -119,12 +120,15 @@ WITH ev AS (SELECT event_id, ts, user_id, event_type, value, CAST(json_extract_s
               FROM raw_stays JOIN patients USING (SUBJECT_ID)
               WHERE DBSOURCE = 'metavision' AND round(round({_DAYS} / 365.242, 7), 2) >= 15.0
                 AND round(round({_DAYS} / 365.424, 7), 2) < 90.0),
- prescriptions AS (SELECT HADM_ID AS hadmID, coalesce(CASE WHEN k < 97 THEN ts END, TIMESTAMP '1970-01-01 00:00:00') AS startDate
+ prescriptions AS (SELECT SUBJECT_ID AS subjectID, HADM_ID AS hadmID, ICUSTAY_ID AS icustayID,
+                coalesce(CASE WHEN k < 97 THEN ts END, TIMESTAMP '1970-01-01 00:00:00') AS startDate,
+                coalesce(CASE WHEN k < 50 THEN ts END, TIMESTAMP '1970-01-01 00:00:00') AS endDate,
+                {DRUG} AS drug, k::VARCHAR AS value, {UNIT} AS unit
               FROM ev WHERE event_type = 'signup' AND {DRUG_TYPE} = 'MAIN' AND {ROUTE} IN ({_listed(fixed.ROUTES)})
                 AND lower({DRUG}) IN ({_listed(fixed.ANTIBIOTICS)}) AND ICUSTAY_ID IN (SELECT icustayID FROM icustays)),
- cultures AS (SELECT HADM_ID AS hadmID, coalesce(CASE WHEN k >= 5 THEN ts END, date_trunc('day', ts)) AS chartDate
+ cultures AS (SELECT SUBJECT_ID AS subjectID, HADM_ID AS hadmID, coalesce(CASE WHEN k >= 5 THEN ts END, date_trunc('day', ts)) AS chartDate
               FROM ev WHERE event_type = 'error' AND {SPECIMEN} = 70012 AND SUBJECT_ID IN (SELECT subjectID FROM icustays)),
- chartevents AS (SELECT HADM_ID AS hadmID, {ITEM} AS itemID, ts AS chartTime, {READING} AS value
+ chartevents AS (SELECT SUBJECT_ID AS subjectID, HADM_ID AS hadmID, ICUSTAY_ID AS icustayID, {ITEM} AS itemID, ts AS chartTime, {READING} AS value
               FROM ev WHERE event_type IN ('view', 'click', 'purchase') AND {ERROR} = 0 AND {READING} IS NOT NULL
                 AND {ITEM} IN ({', '.join(str(i) for i in fixed.VITAL_ITEMS)})
                 AND ICUSTAY_ID IN (SELECT icustayID FROM icustays)),
@@ -157,30 +161,29 @@ LATEST = "arg_max(value, (chartTime, value))"
 FEATURE_NAMES = [*fixed.DERIVED_ITEMS.values(), *fixed.VITAL_ITEMS.values()]
 
 
+def plain_times(df: DataFrame) -> DataFrame:
+    """Times without a zone, as the given tables have them."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
 @query(f"{RECORDS_CTE} SELECT subjectID, hadmID, icustayID, inTime, outTime, dod, age, gender, expired FROM icustays")
 def clinical_stays(spark: SparkSession, folder: str) -> DataFrame:
-    stays = records(spark, folder)["icustays"]
-    for name in ("inTime", "outTime", "dod"):
-        stays = stays.withColumn(name, F.col(name).cast("timestamp_ntz"))
-    return stays
+    return plain_times(records(spark, folder)["icustays"])
 
 
-@query(f"{RECORDS_CTE} SELECT hadmID, startDate FROM prescriptions")
+@query(f"{RECORDS_CTE} SELECT subjectID, hadmID, icustayID, startDate, endDate, drug, value, unit FROM prescriptions")
 def clinical_prescriptions(spark: SparkSession, folder: str) -> DataFrame:
-    orders = records(spark, folder)["prescriptions"]
-    return orders.select("hadmID", F.col("startDate").cast("timestamp_ntz").alias("startDate"))
+    return plain_times(records(spark, folder)["prescriptions"])
 
 
-@query(f"{RECORDS_CTE} SELECT hadmID, chartDate FROM cultures")
+@query(f"{RECORDS_CTE} SELECT subjectID, hadmID, chartDate FROM cultures")
 def clinical_cultures(spark: SparkSession, folder: str) -> DataFrame:
-    cultures = records(spark, folder)["microbiologyevents"]
-    return cultures.select("hadmID", F.col("chartDate").cast("timestamp_ntz").alias("chartDate"))
+    return plain_times(records(spark, folder)["microbiologyevents"])
 
 
-@query(f"{RECORDS_CTE} SELECT hadmID, itemID, chartTime, value FROM chartevents")
+@query(f"{RECORDS_CTE} SELECT subjectID, hadmID, icustayID, itemID, chartTime, value FROM chartevents")
 def clinical_vitals(spark: SparkSession, folder: str) -> DataFrame:
-    readings = records(spark, folder)["chartevents"]
-    return readings.select("hadmID", "itemID", F.col("chartTime").cast("timestamp_ntz").alias("chartTime"), "value")
+    return plain_times(records(spark, folder)["chartevents"])
 
 
 @query(

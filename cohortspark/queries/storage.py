@@ -6,7 +6,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.plans.clinical import record_steps
+from cohortspark.plans.dictionaries import antibiotics
 from cohortspark.plans.feature_sets import feature_vectors
+from cohortspark.queries.clinical import RECORDS_CTE, raw_tables
 from cohortspark.queries.events import (
     FEATURE_COLUMNS,
     INDEX_CTE,
@@ -20,13 +23,16 @@ from cohortspark.queries.events import (
 from cohortspark.queries.registry import query, table
 from cohortspark.sources import (
     checkpoint_or_reload,
+    durable,
     feature_set_path,
     infer_table_name,
+    published_counts,
     read_csv_table,
     read_dictionary_ids,
     read_dictionary_text,
     read_feature_sets,
     read_libsvm,
+    read_typed_csv,
     shared_folder,
     sweep_feature_sets,
     write_feature_sets,
@@ -43,6 +49,44 @@ def csv_scan_named_view(spark: SparkSession, folder: str) -> DataFrame:
     return spark.table(infer_table_name(path))
 
 
+#: Orders as lines of a file: some lack the last field, some have one too many, some hold a price that is no number.
+BROKEN_LINE = """CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey || ',' || o_orderstatus
+ WHEN o_orderkey % 77 = 9 THEN o_orderkey || ',' || o_orderstatus || ',' || o_custkey || ',0,0'
+ WHEN o_orderkey % 101 = 11 THEN o_orderkey || ',' || o_orderstatus || ',' || 'n/a' || ',' || o_orderpriority
+ ELSE o_orderkey || ',' || o_orderstatus || ',' || o_custkey || ',' || o_orderpriority END"""
+IS_BROKEN = "(o_orderkey % 50 = 7 OR o_orderkey % 77 = 9 OR o_orderkey % 101 = 11)"
+
+
+def broken_file(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    path = f"{shared_folder(spark)}/broken_orders.csv"
+    lines = table(spark, folder, "orders").select(F.expr(BROKEN_LINE).alias("o_orderkey,o_orderstatus,o_custkey,o_orderpriority"))
+    lines.write.option("header", True).option("sep", "\u0001").csv(path)  # whole lines, nothing to quote
+    return read_typed_csv(spark, path, {"o_custkey": "BIGINT", "o_orderkey": "BIGINT", "o_orderpriority": "STRING"})
+
+
+@query(f"SELECT o_orderkey, o_custkey, o_orderpriority FROM orders WHERE NOT {IS_BROKEN}")
+def csv_typed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_file(spark, folder)[0]
+
+
+@query(f"SELECT {BROKEN_LINE} AS line FROM orders WHERE {IS_BROKEN}")
+def csv_rejected_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return broken_file(spark, folder)[1]
+
+
+@query(
+    f"""{RECORDS_CTE}
+SELECT 'icustays' AS table_name, count(*) AS n_rows FROM icustays UNION ALL SELECT 'prescriptions', count(*) FROM prescriptions
+UNION ALL SELECT 'microbiologyevents', count(*) FROM cultures UNION ALL SELECT 'chartevents', count(*) FROM chartevents
+"""
+)
+def checkpoint_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the saved record tables, as published with them."""
+    path, raw = shared_folder(spark), raw_tables(spark, folder)
+    checkpoint_or_reload(spark, path, record_steps(raw.__getitem__, antibiotics(spark), key_type="bigint"))
+    return published_counts(spark, path)
+
+
 @query("SELECT * FROM events")
 def parquet_checkpoint_reload(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark)
@@ -109,3 +153,20 @@ def feature_set_sweep(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(F.col("label") == 1).alias("cases"),
         F.round(F.sum(vector_to_array("features")[0]), 6).alias("score_sum"),
     )
+
+
+@query(
+    f"""
+{INDEX_CTE}, {wide_cte('latest', swept=True)}
+SELECT pred_hours, label, count(*) AS n_rows, round(sum(score), 6) AS score_sum
+FROM wide WHERE pred_hours <> 4 OR label = 1 GROUP BY 1, 2
+"""
+)
+def feature_set_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    """One prediction window of a saved sweep is written anew, from its cases only; the others stay."""
+    path = f"{shared_folder(spark)}/swept"
+    write_feature_sets(sweep_frame(spark, folder), path)
+    again = read_feature_sets(spark, path).where("pred_hours = 4 AND label = 1")
+    write_feature_sets(durable(again), path, only_these=True)
+    grouped = read_feature_sets(spark, path).groupBy("pred_hours", "label")
+    return grouped.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("score"), 6).alias("score_sum"))

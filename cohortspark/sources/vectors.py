@@ -28,9 +28,12 @@ def read_libsvm(spark: SparkSession, path: str, n_features: int = 12) -> DataFra
     return spark.read.format("libsvm").option("numFeatures", n_features).load(path)
 
 
-def write_feature_sets(df: DataFrame, path: str, window: str = "pred_hours") -> None:
-    """Write the feature sets of a sweep as one table with a partition per window."""
-    write_parquet_checkpoint(df, path, partition_by=window)
+def write_feature_sets(df: DataFrame, path: str, window: str = "pred_hours", only_these: bool = False) -> None:
+    """Write the feature sets of a sweep as one table with a partition per window.
+
+    With ``only_these`` the windows that ``df`` has are replaced and the others stay as they are.
+    """
+    write_parquet_checkpoint(df, path, partition_by=window, only_these_partitions=only_these)
 
 
 def read_feature_sets(spark: SparkSession, path: str, hours: int | None = None, window: str = "pred_hours") -> DataFrame:

@@ -6,18 +6,21 @@ from cohortspark.sources import (
     durable,
     feature_set_path,
     infer_table_name,
+    published_counts,
     read_csv_table,
     read_dictionary_ids,
     read_dictionary_text,
     read_feature_sets,
     read_libsvm,
+    read_typed_csv,
+    remove_old_runs,
     report_metrics,
     shared_folder,
     sweep_feature_sets,
     write_feature_sets,
     write_libsvm,
 )
-from cohortspark.sources.checkpoints import path_exists
+from cohortspark.sources.checkpoints import child_folders, path_exists, published_run, release, saved_rows
 
 
 @pytest.mark.parametrize(
@@ -138,3 +141,61 @@ def test_reports_are_stacked_and_saved(spark, tmp_path, rows):
     part = spark.createDataFrame([("m", "auroc", 0.5)], "model string, metric string, value double")
     report_metrics([part, part], str(tmp_path / "report"))
     assert rows(spark.read.parquet(str(tmp_path / "report"))) == [("m", "auroc", 0.5)] * 2
+
+
+def test_rows_are_published_with_a_run_and_old_runs_go(spark, rows):
+    path = shared_folder(spark)
+    assert rows(published_counts(spark, path)) == [] and remove_old_runs(spark, path, 1) == []
+    for n in (1, 2, 3):
+        tables = checkpoint_or_reload(spark, path, {"a": lambda done: spark.range(n), "b": lambda done: done["a"].where("id > 0")}, reload=True, keep=2)
+        assert rows(published_counts(spark, path)) == [("a", n), ("b", n - 1)]
+        assert tables["a"].count() == n  # never removed before the next run is published
+    left = [f.rsplit("/", 1)[-1] for f in child_folders(spark, path)]
+    assert len([f for f in left if f.startswith("run-")]) == 2 and published_run(spark, path, ["a", "b"]) in left
+    with pytest.raises(ValueError):
+        remove_old_runs(spark, path, 0)
+
+
+def test_rows_of_a_saved_table_are_counted_without_reading_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id * 2 AS twice").write.parquet(path)
+    assert saved_rows(spark, path) == 1000
+    plan = spark.read.parquet(path).groupBy().count()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
+
+
+def test_release_removes_what_durable_made_only(spark, tmp_path):
+    table = durable(spark.range(5))
+    folder = table.inputFiles()[0].rsplit("/", 1)[0]
+    release(table)
+    assert not path_exists(spark, folder)
+    spark.range(5).write.parquet(str(tmp_path / "mine"))
+    with pytest.raises(ValueError):
+        release(spark.read.parquet(str(tmp_path / "mine")))
+
+
+def test_typed_columns_by_name_and_rejected_lines(spark, tmp_path, rows):
+    file = tmp_path / "MIXED.csv"
+    file.write_text(
+        "ROW_ID,name,id,at,other\n"
+        '1,"a, b",10,2020-01-01 00:00:00,x\n'
+        "2,,20,,\n"
+        "3,c,thirty,2020-01-01 00:00:00,x\n"
+        "4,d,40\n"
+        "5,e,50,2020-01-02 00:00:00,x,y\n"
+        "6,f,60,not a time,x\n"
+    )
+    good, rejected = read_typed_csv(spark, str(file), {"id": "INT", "at": "TIMESTAMP", "name": "STRING"})
+    assert good.dtypes == [("id", "int"), ("at", "timestamp"), ("name", "string")]
+    assert [(r.id, r.name) for r in good.orderBy("id").collect()] == [(10, "a, b"), (20, None)]
+    assert sorted(r.line[0] for r in rejected.collect()) == ["3", "4", "5", "6"]
+    assert rows(spark.table("MIXED"), "id") == [(10,), (20,)]
+    with pytest.raises(ValueError):
+        read_typed_csv(spark, str(file), {"missing": "INT"})
+
+
+def test_one_window_of_a_sweep_is_replaced(spark, tmp_path, rows):
+    path = str(tmp_path / "swept")
+    write_feature_sets(spark.createDataFrame([(1, 1, 0.5), (2, 8, 1.5), (3, 8, 2.5)], "key int, pred_hours int, x double"), path)
+    write_feature_sets(spark.createDataFrame([(4, 8, 9.5)], "key int, pred_hours int, x double"), path, only_these=True)
+    assert rows(read_feature_sets(spark, path), "key", "pred_hours") == [(1, 1), (4, 8)]
