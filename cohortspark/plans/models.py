@@ -6,11 +6,12 @@ tables of ``(model, metric, value)`` rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -20,7 +21,9 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -72,6 +75,13 @@ GRIDS: dict[str, dict[str, dict[str, list[Any]]]] = {
 }
 
 
+# The two plain regressions.
+PLAIN: dict[str, dict[str, Any]] = {
+    "binomial": {"maxIter": 50, "regParam": 0.01, "elasticNetParam": 0.8, "tol": 0.05},
+    "multinomial": {"maxIter": 50, "regParam": 0.001, "elasticNetParam": 1.0, "tol": 0.05, "family": "multinomial"},
+}
+
+
 @dataclass
 class Fitted:
     """A fitted model with its predictions on the test split and the metrics of these."""
@@ -242,23 +252,15 @@ def compare_models(
 # --- plain logistic regression -----------------------------------------------------------------------------------
 
 
-def fit_logistic_plain(features: DataFrame) -> dict[str, LogisticRegressionModel]:
-    """Binomial and multinomial regression on all rows, each with its threshold at the best F-measure."""
-    (scaled,) = scale_unit_std(features)
-    scaled = scaled.persist()
-    try:
-        models = {
-            "binomial": LogisticRegression(
-                featuresCol="scaled", maxIter=50, regParam=0.01, elasticNetParam=0.8, tol=0.05
-            ).fit(scaled),
-            "multinomial": LogisticRegression(
-                featuresCol="scaled", maxIter=50, regParam=0.001, elasticNetParam=1.0, tol=0.05, family="multinomial"
-            ).fit(scaled),
-        }
-        for model in models.values():
-            model.setThreshold(best_threshold(model))
-    finally:
-        scaled.unpersist()
+def fit_logistic_plain(
+    features: DataFrame, settings: Mapping[str, Mapping[str, Any]] | None = None
+) -> dict[str, LogisticRegressionModel]:
+    """Regressions on all rows, each with its threshold at the best F-measure; binomial and multinomial unless
+    ``settings`` names others by their parameters."""
+    (scaled,) = scale_unit_std(compact(features))
+    models = {name: LogisticRegression(featuresCol="scaled", **params).fit(scaled) for name, params in (settings or PLAIN).items()}
+    for model in models.values():
+        model.setThreshold(best_threshold(model))
     return models
 
 
@@ -307,13 +309,58 @@ def forest_report(features: DataFrame, key: str, trees: int = 100, train_share:
     return forest_metrics(durable(predictions))
 
 
-def _tested_folds(folded: DataFrame, folds: int, trees: int) -> DataFrame:
-    """Predictions for the rows of each fold by a forest fitted on the others."""
+@dataclass
+class Moments:
+    """Number, means and sums of squared deviations of feature vectors; those of two sets of rows add up."""
+
+    n: float
+    mean: np.ndarray
+    squares: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        n = self.n + other.n
+        if not n:
+            return self
+        apart = other.mean - self.mean
+        return Moments(n, self.mean + apart * (other.n / n), self.squares + other.squares + apart**2 * (self.n * other.n / n))
+
+    def inverse_deviation(self) -> np.ndarray:
+        """What to multiply features by; 0 for a constant feature."""
+        deviation = np.sqrt(self.squares / max(self.n - 1, 1))
+        return np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 0)
+
+
+def fold_moments(folded: DataFrame, by: Sequence[str], features: str = "features") -> dict[tuple, Moments]:
+    """Moments of the rows of each group, in one aggregation that brings a few numbers per group and feature to the driver."""
+    summary = Summarizer.metrics("count", "mean", "variance").summary(F.col(features)).alias("s")
+    rows = folded.groupBy(*by).agg(summary).select(*by, "s.count", "s.mean", "s.variance").collect()
+    return {tuple(r[:-3]): Moments(r[-3], r[-2].toArray(), r[-1].toArray() * max(r[-3] - 1, 0)) for r in rows}
+
+
+def other_folds_scale(moments: dict[tuple, Moments], group: tuple, fold: int) -> np.ndarray:
+    """What scales the rows that a model for ``fold`` trains on: those of the group's other folds.
+
+    Moments are added and never subtracted, so features far from zero lose no digits.
+    """
+    others = [m for key, m in sorted(moments.items()) if key[:-1] == group and key[-1] != fold]
+    return reduce(Moments.__add__, others).inverse_deviation()
+
+
+def _tested_folds(folded: DataFrame, folds: int, trees: int, by: Sequence[str] = ()) -> DataFrame:
+    """Predictions for the rows of each fold of each group by a forest fitted on the group's other folds.
+
+    The scales of all folds come from one aggregation.
+    """
     folded = compact(folded)
+    moments = fold_moments(folded, [*by, "fold"])
     tested = []
-    for fold in range(folds):
-        train, test = scale_unit_std(folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold))
-        tested.append(fit_forest(train, test, trees, "scaled").select("fold", "label", "prediction", "probability"))
+    for group in sorted({key[:-1] for key in moments}):
+        inside = reduce(lambda c, pair: c & (F.col(pair[0]) == F.lit(pair[1])), zip(by, group), F.lit(True))
+        for fold in sorted(key[-1] for key in moments if key[:-1] == group):
+            scale = Vectors.dense(other_folds_scale(moments, group, fold))
+            scaled = ElementwiseProduct(scalingVec=scale, inputCol="features", outputCol="scaled").transform(folded.where(inside))
+            train, test = scaled.where(F.col("fold") != fold), scaled.where(F.col("fold") == fold)
+            tested.append(fit_forest(train, test, trees, "scaled").select(*by, "fold", "label", "prediction", "probability"))
     return reduce(DataFrame.unionByName, tested)
 
 
@@ -360,12 +407,11 @@ def fold_metrics_by_window(
         "RandomForest/kfold": lambda df: kfold_assign(df, key, folds),
         "RandomForest/stratified": lambda df: stratified_kfold_assign(df, key, "label", folds, FOREST_SEED),
     }
-    tested = [
-        _tested_folds(deal(features.where(F.col(window) == hours)), folds, trees).select(
-            F.lit(name).alias("model"), F.lit(hours).alias(window), "fold", "label", "prediction", "probability"
-        )
+    folded = [
+        deal(features.where(F.col(window) == hours)).withColumn("model", F.lit(name))
         for name, deal in dealt.items()
         for hours in windows
     ]
-    per_fold = forest_metrics(durable(reduce(DataFrame.unionByName, tested)), by=["model", window, "fold"])
+    tested = _tested_folds(reduce(DataFrame.unionByName, folded), folds, trees, ["model", window])
+    per_fold = forest_metrics(durable(tested), by=["model", window, "fold"])
     return per_fold.groupBy("model", window, "metric").agg((F.sum("value") / folds).alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortspark.operators import evaluation, records, splits
+from cohortspark.plans.models import fold_moments, other_folds_scale
 from cohortspark.plans.models import scale_unit_std as scale
 from cohortspark.queries.events import INDEX_CTE, sweep_frame, wide_cte
 from cohortspark.queries.registry import query, table
@@ -72,6 +73,25 @@ def scale_columns(spark: SparkSession, folder: str) -> DataFrame:
     return scaled.withColumns({c: F.round(c, 6) for c in SCALED})
 
 
+OFFSET = 100_000
+
+
+@query(
+    f"""
+SELECT fold, column_name, round(spread, 6) AS spread FROM (
+  SELECT f.fold, {', '.join(f'stddev_samp({c} + {OFFSET}) AS {c}' for c in SCALED)}
+  FROM lineitem, (VALUES (0), (1), (2), (3), (4)) AS f(fold) WHERE l_orderkey % 5 <> f.fold GROUP BY 1)
+UNPIVOT (spread FOR column_name IN ({', '.join(SCALED)}))
+"""
+)
+def fold_scales(spark: SparkSession, folder: str) -> DataFrame:
+    """Deviation of the train rows of each fold, for columns far from zero; all folds from one aggregation."""
+    lines = table(spark, folder, "lineitem").select((F.col("l_orderkey") % 5).alias("fold"), *[(F.col(c) + OFFSET).alias(c) for c in SCALED])
+    moments = fold_moments(VectorAssembler(inputCols=list(SCALED), outputCol="features").transform(lines), ["fold"])
+    rows = [(fold, c, 1 / float(x)) for fold in range(5) for c, x in zip(SCALED, other_folds_scale(moments, (), fold))]
+    return spark.createDataFrame(rows, "fold INT, column_name STRING, spread DOUBLE").withColumn("spread", F.round("spread", 6))
+
+
 @query(
     """
 SELECT o_orderkey,

@@ -118,3 +118,32 @@ def test_every_score_is_a_threshold(spark):
     model = models.fit_logistic_plain(df)["binomial"]
     distinct = models.training_counts(model).count()
     assert distinct == 20000 and models.summary_roc(model).count() == distinct + 1
+
+
+def test_scales_of_folds_equal_the_scaler_far_from_zero(spark):
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    data = [(i, i % 3, float(i % 2), Vectors.dense(1e7 + rng.gauss(0, 3), rng.gauss(-5e5, 0.1), 4.0)) for i in range(300)]
+    df = spark.createDataFrame(data, ["key", "fold", "label", "features"])
+    moments = models.fold_moments(df, ["fold"])
+    for fold in range(3):
+        scaler = StandardScaler(inputCol="features", outputCol="o", withStd=True, withMean=False)
+        fitted = scaler.fit(df.where(F.col("fold") != fold))
+        want = [1 / s if s else 0.0 for s in fitted.std.toArray()]
+        assert models.other_folds_scale(moments, (), fold) == pytest.approx(want, rel=1e-9)
+
+
+def test_moments_add_up_with_empty_parts():
+    import numpy as np
+
+    none = models.Moments(0, np.zeros(1), np.zeros(1))
+    some = models.Moments(2, np.array([3.0]), np.array([2.0]))
+    assert (none + some).mean == 3.0 and (some + none).squares == 2.0 and (none + none).n == 0
+    assert none.inverse_deviation() == 0.0
+
+
+def test_settings_of_plain_regressions(features):
+    fitted = models.fit_logistic_plain(features, {"free": {"regParam": 0.0, "maxIter": 100}})
+    assert set(fitted) == {"free"} and values(models.logistic_summary(fitted["free"], "free"))["free", "auroc"] > 0.8
