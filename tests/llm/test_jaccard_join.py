@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 from cohortspark.llm import jaccard_join
-from cohortspark.llm.jaccard_join import keep_one_of_each, op5_jaccard_join, similar_documents, t_occurrence
+from cohortspark.llm.jaccard_join import keep_one_of_each, least_occurrences, occurrences, op5_jaccard_join, required, similar_documents, t_occurrence
 from helpers import awkward_texts, clashing, documents
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -65,6 +65,33 @@ def test_components(spark, monkeypatch, seed, bucket, long, frequent):
     assert {r.id: (r.n, r.component) for r in found} == plain(texts)
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_buckets_beyond_the_first_shuffle(spark, parts):
+    """Buckets are split once more by further bits of the hash."""
+    texts = near_texts(5)
+    found = similar_documents(documents(spark, texts).repartition(4), bucket=150, parts=parts).collect()
+    assert {r.id: (r.n, r.component) for r in found} == plain(texts)
+
+
+def test_partners_share_that_many_of_the_merged_lists():
+    """Of sets in one order of their elements, the parts that are merged have at least t in common if the sets are similar."""
+    rng = random.Random(3)
+    similar = 0
+    for _ in range(4000):
+        a = set(rng.sample(range(60), rng.randint(1, 40)))
+        b = {x for x in a if rng.random() < 0.93} | set(rng.sample(range(60), rng.randint(0, 3)))
+        if b and 100 * len(a & b) >= 75 * len(a | b):
+            similar += 1
+            merged = [set(sorted(x)[: len(x) - required(len(x)) + occurrences(len(x))]) for x in (a, b)]
+            assert len(merged[0] & merged[1]) >= max(least_occurrences(len(a)), least_occurrences(len(b)))
+    assert similar > 1000 and least_occurrences(100) == jaccard_join.OCCURRENCES > 1 == least_occurrences(1)
+
+
+def test_same_id_with_other_text(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "x y z"), (3, "x y z"), (3, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in keep_one_of_each(docs).collect()) == [(1, "a b c d e f"), (2, "a b c d e f"), (2, "x y z"), (3, ""), (3, "x y z")]
+
+
 def test_one_of_each_stays(spark):
     texts = near_texts(4)
     docs = clashing(documents(spark, texts))
