@@ -79,7 +79,7 @@ def drop_shared_lines(docs: DataFrame) -> DataFrame:
     kept = deduplicate_lines(docs).select("row.*", "text")
     if "n_chars" in docs.columns:
         kept = with_columns(kept, n_chars=F.char_length("text").cast("long"))
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = """
