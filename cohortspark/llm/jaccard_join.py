@@ -50,7 +50,7 @@ from cohortspark.sources.checkpoints import durable, release
 SIMILAR = 75
 
 #: Shingles of a bucket, shingles that a task gathers before it sends them, documents of a task that make a shingle frequent.
-BUCKET, GATHERED, FREQUENT = 1_000_000, 1_000_000, 64
+BUCKET, GATHERED, FREQUENT = 3_000_000, 1_000_000, 64
 
 #: List lengths are told apart up to here; longer lists are long ones.
 LONG = 64
@@ -130,10 +130,19 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pack(part: int, owner: np.ndarray, keys: np.ndarray, sizes: np.ndarray, hashes: bytes, lengths: bytes = b"", notes: bytes = b"") -> tuple:
-    """A row; ``owner`` has for each hash the place of its document in ``keys`` and ``sizes``, in groups."""
+    """A row; ``owner`` has for each hash the place of its document in ``keys`` and ``sizes``, in groups.
+
+    Hashes of a document cost eleven bytes besides their own: its key, its size in two bytes where all sizes of the row fit,
+    and their number, up to 255 at a time.
+    """
     starts, counts = _runs(owner)
-    at = owner[starts]
-    return (part, keys[at].tobytes(), sizes[at].astype(np.uint32).tobytes(), counts.astype(np.uint32).tobytes(), hashes, lengths, notes)
+    pieces = -(-counts // 255)
+    at = np.repeat(owner[starts], pieces)
+    numbers = np.full(len(at), 255, np.uint8)
+    numbers[np.cumsum(pieces) - 1] = counts - 255 * (pieces - 1)
+    held = sizes[at]
+    kind = np.uint16 if held.max(initial=0) < 1 << 16 else np.uint32
+    return (part, keys[at].tobytes(), held.astype(kind).tobytes(), numbers.tobytes(), hashes, lengths, notes)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -237,8 +246,12 @@ def split_buckets(packed: DataFrame, buckets: int, bits: int) -> DataFrame:
 
 def _unpacked(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Key and size for each hash."""
-    counts = _joined(found["counts"], np.uint32)
-    return np.repeat(_joined(found["keys"], np.int64), counts), np.repeat(_joined(found["sizes"], np.uint32), counts)
+    counts = _joined(found["counts"], np.uint8)
+    sizes = [
+        np.frombuffer(size, np.uint16 if len(size) == 2 * len(count) else np.uint32).astype(np.uint32)
+        for size, count in zip(found["sizes"].to_pylist(), found["counts"].to_pylist())
+    ]
+    return np.repeat(_joined(found["keys"], np.int64), counts), np.repeat(np.concatenate(sizes), counts)
 
 
 def shared_shingles(packed: DataFrame, buckets: int, parts: int, bits: int = 0) -> DataFrame:
