@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 8
 
+#: Bits of the map of keys that a semi join sends to all tasks: eight megabytes at most, whatever the number of keys.
+MAP_BITS, _PART_BITS = 1 << 26, 1 << 15
+
 _SALT = "_salt"
 
 
@@ -64,15 +67,43 @@ def spread_join(
     return salted.join(copies, [*keys, _SALT], how).drop(_SALT)
 
 
+def key_map(ids: DataFrame, keys: Sequence[str], bits: int = MAP_BITS) -> DataFrame:
+    """(``_part``, ``_bits``): a bit for each hash of a key that occurs, in rows of 4096 bytes; ``bits`` / 32768 rows at most."""
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits).cast("bigint"))
+    known = ids.where(F.concat(*[F.isnotnull(k).cast("string") for k in keys]) == F.lit("true" * len(keys)))
+    placed = known.select(F.floor(place / _PART_BITS).alias("_part"), (place % _PART_BITS).alias("_bit"))
+    return placed.groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+
+
+def in_key_map(df: DataFrame, found: DataFrame, keys: Sequence[str], bits: int = MAP_BITS) -> DataFrame:
+    """Rows whose key may occur among those of :func:`key_map`: all that do, and by chance some that do not.
+
+    The map is broadcast: its size is bounded by ``bits``.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(bits).cast("bigint"))
+    placed = df.withColumns({"_part": F.floor(place / _PART_BITS), "_bit": (place % _PART_BITS).cast("int")})
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = (F.floor(byte / F.pow(F.lit(2.0), F.col("_bit") % 8)) % 2) == 1
+    return placed.join(F.broadcast(found), "_part").where(held).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def semi_join(
     df: DataFrame, ids: DataFrame, on: str | Sequence[str], ids_on: str | Sequence[str] | None = None,
-    salts: int | None = None,
+    salts: int | None = None, prefilter: bool | None = None,
 ) -> DataFrame:
-    """Rows of ``df`` whose key occurs in ``ids``. Neither side needs to be distinct."""
+    """Rows of ``df`` whose key occurs in ``ids``. Neither side needs to be distinct.
+
+    When ``ids`` outgrow a broadcast, a bit map of their hashes is made first and sent to all tasks, so that only rows whose
+    key may occur are shuffled; ``ids`` are read twice then. ``prefilter`` says so in advance.
+    """
     keys = [on] if isinstance(on, str) else list(on)
     names = keys if ids_on is None else ([ids_on] if isinstance(ids_on, str) else list(ids_on))
     wanted = ids.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)])
     columns = df.columns
+    if prefilter is None:
+        prefilter = salts is None and not fits_in_broadcast(wanted)
+    if prefilter and all(df.schema[k].dataType == wanted.schema[k].dataType for k in keys):  # else hashes differ
+        df = in_key_map(df, key_map(wanted, keys), keys)
     return spread_join(df, wanted, keys, "left_semi", salts).select(*columns)
 
 

@@ -20,8 +20,8 @@ from cohortspark.sources.tables import distinct_lower
 
 def antibiotics(spark: SparkSession) -> DataFrame:
     """The fixed list of antibiotic names as a dictionary."""
-    names = "\n".join(dict.fromkeys(name.lower() for name in fixed.ANTIBIOTICS))
-    return spark.range(1).select(F.explode(F.split(F.lit(names), "\n")).alias("value"))
+    names = dict.fromkeys(name.lower() for name in fixed.ANTIBIOTICS)
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("value"))
 
 
 def drug_dictionary(prescriptions: DataFrame) -> DataFrame:

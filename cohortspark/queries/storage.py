@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortspark.operators.layout import item_positions, sparse_features
 from cohortspark.plans.clinical import record_steps
 from cohortspark.plans.dictionaries import antibiotics
 from cohortspark.plans.feature_sets import feature_vectors
@@ -170,3 +171,30 @@ def feature_set_replaced(spark: SparkSession, folder: str) -> DataFrame:
     write_feature_sets(durable(again), path, only_these=True)
     grouped = read_feature_sets(spark, path).groupBy("pred_hours", "label")
     return grouped.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("score"), 6).alias("score_sum"))
+
+
+ITEM_SQL = """
+WITH l AS (SELECT l_suppkey, l_partkey || '/' || l_orderkey AS item, sum(l_quantity) AS value FROM lineitem GROUP BY 1, 2),
+ p AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS position, count(*) OVER () AS width FROM (SELECT DISTINCT item FROM l))"""
+
+
+def line_items(spark: SparkSession, folder: str) -> DataFrame:
+    """One item for each part of each order: about as many as there are lines."""
+    item = F.concat(F.col("l_partkey").cast("string"), F.lit("/"), F.col("l_orderkey").cast("string"))
+    lines = table(spark, folder, "lineitem").select("l_suppkey", item.alias("item"), "l_quantity")
+    return lines.groupBy("l_suppkey", "item").agg(F.sum("l_quantity").alias("value"))
+
+
+@query(f"{ITEM_SQL} SELECT item, position, width FROM p")
+def item_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Positions of all items, from ranges of the items."""
+    return item_positions(line_items(spark, folder), "item")
+
+
+@query(f"{ITEM_SQL} SELECT l_suppkey, width, position AS place, value FROM l JOIN p USING (item)")
+def sparse_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse vectors over all items, one for each supplier, as their places and values."""
+    long = line_items(spark, folder)
+    features = sparse_features(long, ["l_suppkey"], "item", "value", item_positions(long, "item"))
+    pairs = F.explode(F.arrays_zip("indices", "values")).alias("p")
+    return features.select("l_suppkey", "width", pairs).select("l_suppkey", "width", F.col("p.indices").alias("place"), F.col("p.values").alias("value"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortspark.operators import filters
-from cohortspark.operators.joins import _bytes, fits_in_broadcast, join_demographics, semi_join, spread_join
+from cohortspark.operators.joins import _bytes, fits_in_broadcast, in_key_map, join_demographics, key_map, semi_join, spread_join
 
 
 @pytest.fixture(scope="module")
@@ -129,3 +129,35 @@ def test_adaptive_execution_may_split_what_salts_leave(spark, eager_skew_splits)
     wide = hot.unionByName(spark.range(0, 2000, 1, 8).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("v")))
     small = spark.range(0, 2000, 1, 4).groupBy(F.col("id").alias("k")).agg(F.max("id").alias("m"))
     assert "skew=true" in executed(spread_join(wide, small, "k", "left", salts=2).select("v", "m"))
+
+
+@pytest.mark.parametrize("bits", [1 << 15, 1 << 18])
+def test_key_map_keeps_all_that_occur(spark, rows, bits):
+    df = spark.range(20000).select((F.col("id") % 7000).alias("k"), F.concat(F.lit("t"), (F.col("id") % 3).cast("string")).alias("t"))
+    df = df.unionByName(spark.createDataFrame([(None, "t1"), (5, None)], "k long, t string"))
+    ids = spark.range(0, 7000, 97).select(F.col("id").alias("k"), F.lit("t1").alias("t"))
+    ids = ids.unionByName(spark.createDataFrame([(None, None), (1, None)], "k long, t string"))
+    found = key_map(ids, ["k", "t"], bits)
+    assert found.count() <= bits >> 15
+    kept = in_key_map(df, found, ["k", "t"], bits)
+    exact = df.join(ids, ["k", "t"], "left_semi")
+    assert kept.columns == df.columns and kept.join(ids, ["k", "t"], "left_semi").count() == exact.count() > 0
+    assert kept.count() < 0.05 * df.count()  # bits taken by chance are few
+    assert rows(semi_join(df, ids, ["k", "t"], prefilter=True)) == rows(exact)
+
+
+def test_semi_join_beyond_a_broadcast_shuffles_few_rows(spark, rows):
+    """With broadcasting of ids off, what is shuffled for the join is about what the join keeps."""
+    df = spark.range(200_000).select((F.col("id") % 50_000).alias("k"), F.col("id").alias("v"))
+    ids = spark.range(0, 50_000, 500).select(F.col("id").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = semi_join(df, ids, "k")
+        assert joined.count() == 400
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "bitmap_construct_agg" in plan and "BroadcastHashJoin" in plan and "LeftSemi" in plan
+        passed = in_key_map(df, key_map(ids, ["k"]), ["k"]).count()
+        assert 400 <= passed < 440  # of 200,000 rows
+        assert rows(joined) == rows(semi_join(df, ids, "k", prefilter=False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
