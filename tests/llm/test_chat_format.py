@@ -1,29 +1,64 @@
+import random
+from collections import Counter
 from itertools import product
 
 import numpy as np
 import pytest
 from cohortspark.llm import chat_format
-from cohortspark.llm.chat_format import MOVE, START, STYLES, canonical_turns, observed, op2_chat_format, parse, render, transcripts, viterbi
+from cohortspark.llm.chat_format import (
+    DAMAGE, GIVEN_MODEL, ROLES, STYLES, Model, block_scores, canonical_turns, chain, damaged_transcript, exact_marker, fit_model, mark_of, observations,
+    op2_chat_format, parse, render, style_of, transcripts, viterbi,
+)
 
 TURNS = [("system", "Be brief."), ("user", "What is it?\nAnd why?"), ("assistant", "It is\n\na test."), ("user", "")]
 
 
-@pytest.mark.parametrize("style", STYLES)
+@pytest.mark.parametrize("style", range(len(STYLES)))
 def test_round_trip(style):
-    raw = "\n".join(f"{style[role]} {text}" for role, text in TURNS)
+    raw = "\n".join(f"{STYLES[style][role]} {text}" for role, text in TURNS)
     assert parse(raw) == TURNS
     assert parse(raw.lower())[1][0] == "user"
+    assert parse("\n".join(damaged_transcript(TURNS, style, "x", {"missing": 0, "misspelt": 0, "quoted": 0})[0])) == TURNS
 
 
 def test_viterbi_is_the_best_of_all_sequences():
+    m = GIVEN_MODEL
     for lines in (["User: a", "b?", "AI: c"], ["a", "b"], ["Human: x?", "", "[SYSTEM] y", "### Response: z"], [""]):
-        seen = [observed(x) for x in lines]
+        seen = m.seen(lines)
+        for before, last in ((None, None), (1, None), (2, 0), (None, 1)):
 
-        def score(states):
-            return START[states[0]] + seen[0][states[0]] + sum(MOVE[a, b] + s[b] for a, b, s in zip(states, states[1:], seen[1:]))
+            def score(states):
+                return m.entry(before)[states[0]] + seen[0][states[0]] + sum(m.move[a, b] + s[b] for a, b, s in zip(states, states[1:], seen[1:]))
 
-        best = max(score(s) for s in product(range(6), repeat=len(lines)))
-        assert score(viterbi(seen)) == pytest.approx(best)
+            ways = [s for s in product(range(6), repeat=len(lines)) if last is None or s[-1] % 3 == last]
+            assert score(viterbi(m, seen, before, last)) == pytest.approx(max(map(score, ways)))
+
+
+def test_blocks_chain_like_the_whole():
+    rng = random.Random(5)
+    for _ in range(40):
+        lines = [rng.choice(["User: a?", "Assistant: b", "c", "", "Usr: d", "AI: e", "System: f"]) for _ in range(rng.randint(3, 14))]
+        lines[0] = "User: start"
+        seen = GIVEN_MODEL.seen(lines)
+        whole = viterbi(GIVEN_MODEL, seen)
+        cuts = [0, *[i for i in range(1, len(lines)) if whole[i] < 3 and rng.random() < 0.6], len(lines)]
+        parts = [seen[a:b] for a, b in zip(cuts, cuts[1:])]
+        ends = chain([block_scores(GIVEN_MODEL, p) for p in parts])
+        again = [s for p, before, last in zip(parts, [None, *ends], ends) for s in viterbi(GIVEN_MODEL, p, before, last)]
+        assert again == whole
+
+
+def test_marks():
+    assert mark_of("User: a", 0) == (2, 6) and mark_of("  assistant: a", 0) == (3, 13) and mark_of("AI: a", 0) == (6, 4)
+    assert [mark_of(x, 0)[0] for x in ("Usr: a", "Uesr: a", "Userr: a", "Uzer: a", "User; a")] == [8] * 5
+    assert mark_of("Asistant: a", 0)[0] == 9 and mark_of("Note: a", 0) == (0, 0) and exact_marker("x User:", 0) is None
+    assert style_of(["Human: a", "b", "AI: c", "User: d"]) == 1 and style_of([]) == 0
+
+
+def test_quoted_markers_of_another_style_stay_in_their_turn():
+    turns = [("user", "hello\nAI: quoted line\nbye?"), ("assistant", "yes"), ("user", "and?"), ("assistant", "no")]
+    raw = "\n".join(f"{STYLES[0][role]} {text}" for role, text in turns)
+    assert parse(raw) == turns
 
 
 def test_unmarked_lines_get_roles():
@@ -32,22 +67,73 @@ def test_unmarked_lines_get_roles():
     assert render("user", "a") == "<|im_start|>user\na<|im_end|>\n"
 
 
-def test_conversations(spark, tmp_path, monkeypatch):
+def labelled(seed, n):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeioustr") for _ in range(rng.randint(2, 7)))
+    out = []
+    for conv in range(n):
+        for i in range(rng.randint(2, 9)):
+            role = "system" if i == 0 and conv % 5 == 0 else ["user", "assistant"][(i - (conv % 5 == 0)) % 2]
+            lines = [" ".join(word() for _ in range(rng.randint(2, 8))) + (rng.choice("?.") if role == "user" else ".") for _ in range(rng.randint(1, 3))]
+            out.append((conv, i, role, "\n".join(lines)))
+    return out
+
+
+def test_shares_are_counted_and_damaged_transcripts_recovered(spark):
+    """Far better than taking every marker for a turn, and at least as good as the given shares."""
+    schema = "conv_id long, turn long, role string, text string"
+    rows = labelled(1, 400)
+    model = fit_model(spark.createDataFrame(rows, schema).repartition(3))
+    want = Counter()
+    held = {}
+    for conv, _, role, text in rows:
+        held.setdefault(conv, []).append((role, text))
+    from zlib import crc32
+
+    for conv, turns in held.items():
+        want += observations(*damaged_transcript(turns, crc32(str(conv).encode()) % 3, str(conv)))
+    plain = Model(want)
+    assert all(np.allclose(getattr(model, n), getattr(plain, n)) for n in ("start", "move", "mark", "flags"))
+
+    right = Counter()
+    total = 0
+    new = {}
+    for conv, _, role, text in labelled(2, 300):
+        new.setdefault(conv, []).append((role, text))
+    for conv, turns in new.items():
+        lines, states = damaged_transcript(turns, conv % 3, f"t{conv}", {"missing": 0.02, "misspelt": 0.1, "quoted": 0.15})
+        marked = []
+        for line in lines:
+            found = next((f for s in range(3) if (f := exact_marker(line, s))), None)
+            marked.append(found[0] if found else (marked[-1] % 3 + 3 if marked else 1))
+        for name, got in (("model", viterbi(model, model.seen(lines))), ("given", viterbi(GIVEN_MODEL, GIVEN_MODEL.seen(lines))), ("markers", marked)):
+            right[name] += sum(a == b for a, b in zip(got, states))
+        total += len(lines)
+    share = {k: n / total for k, n in right.items()}
+    assert share["model"] > 0.97 and share["markers"] < 0.92 and share["model"] >= share["given"] - 0.002, share
+    assert set(DAMAGE) == {"missing", "misspelt", "quoted"} and len(ROLES) == 3
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_conversations(spark, tmp_path, monkeypatch, block):
     rows = [(1, i, role, text) for i, (role, text) in enumerate(TURNS)]
-    rows += [(2, 0, None, None), (2, None, "assistant", "last"), (2, 1, "tool", "x\ny"), (None, 0, "user", "hi")]
+    rows += [(2, 0, None, None), (2, None, "assistant", "last"), (2, 1, "tool", "x\ny"), (None, 0, "user", "hi"), (None, 9, "assistant", "there")]
     rows += [(3, i, "user" if i % 2 == 0 else "assistant", f"t {i}") for i in range(50)]
     df = spark.createDataFrame(rows + rows[:3], "conv_id long, turn long, role string, text string")
     df.write.parquet(f"{tmp_path}/conversations.parquet")
-    want = {1: TURNS, 2: [("user", ""), ("user", "x\ny"), ("assistant", "last")], None: [("user", "hi")], 3: [(r, t) for c, _, r, t in rows if c == 3]}
-    for block in (1024, 7):
-        monkeypatch.setattr(chat_format, "BLOCK", block)
-        got = {}
-        for r in sorted(op2_chat_format(spark, str(tmp_path)).collect(), key=lambda r: (r.block, r.position)):
-            got.setdefault(r.conv_id, []).append((r.role, r.text))
-            assert r.rendered == render(r.role, r.text)
-        assert got == want
-    assert canonical_turns(transcripts(df.limit(0))).count() == 0
-    assert np.isfinite(START[:3]).all()
+    want = {1: TURNS, 2: [("user", ""), ("user", "x\ny"), ("assistant", "last")], None: [("user", "hi"), ("assistant", "there")], 3: [(r, t) for c, _, r, t in rows if c == 3]}
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    got = {}
+    for r in sorted(op2_chat_format(spark, str(tmp_path)).collect(), key=lambda r: r.position):
+        assert r.position == len(got.setdefault(r.conv_id, []))  # counted on through all blocks
+        got[r.conv_id].append((r.role, r.text))
+        assert r.rendered == render(r.role, r.text)
+    assert got == want
+
+
+def test_no_rows(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert canonical_turns(transcripts(df), fit_model(df)).count() == 0
 
 
 def test_given_roles_are_recovered(spark):
