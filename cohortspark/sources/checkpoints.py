@@ -16,11 +16,14 @@ _STORED = "cohortspark-"
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name below the one the cluster names in ``spark.checkpoint.dir``.
 
-    Without that setting it is below the session's warehouse, which all executors share as well.
+    Without that setting it is below the session's warehouse, unless that is a local folder of one machine of a cluster.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    base = base or spark.conf.get("spark.sql.warehouse.dir")
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     return f"{base.rstrip('/')}/{_STORED}{uuid.uuid4().hex}"
 
 
