@@ -71,6 +71,9 @@ PRIOR, SAMPLE = 20, 5000
 #: Shares of turns whose marker is missing or misspelt, and that quote a marker, in labelled transcripts.
 DAMAGE = {"missing": 0.02, "misspelt": 0.04, "quoted": 0.04}
 
+#: For transcripts whose turns all carry their marker.
+CLEAN = {"missing": 0.0, "misspelt": 0.0, "quoted": 0.0}
+
 
 # --- lines -----------------------------------------------------------------------------------------------------------
 
@@ -388,6 +391,9 @@ FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
 
 @query("op2_chat_format", SQL)
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    """Each conversation as a raw transcript in one of several styles, parsed and rendered again."""
+    """Each conversation as a raw transcript in one of several styles, parsed and rendered again.
+
+    These transcripts are without damage, and so are those that the shares are counted on.
+    """
     turns = table(spark, folder, "conversations")
-    return canonical_turns(transcripts(turns), fit_model(turns))
+    return canonical_turns(transcripts(turns), fit_model(turns, damage=CLEAN))
