@@ -1,10 +1,13 @@
 """Model searches, fits and reports.
 
-What a search finds on arbitrary features cannot be written as SQL. These queries fit on features of which one column tells
+What a search finds on arbitrary features cannot be written as SQL. Most queries here fit on features of which one column tells
 nearly everything: the balance of a customer is to be told from a mark that is wrong for every seventh customer, among
 columns that tell nothing. Every classifier that has learned anything then ranks and predicts by the mark, and all metrics
 follow from counts of marks and labels; one that has not, or that looks at wrong rows, gives other metrics. Unpenalised
 regressions on the mark have closed forms for their coefficients as well.
+
+The searches for a logistic regression and for a forest run on the feature set of the events too, with the same whole grids.
+SQL holds the rows of each label that their best models are tested on, and that all six metrics of these are shares.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from pyspark.sql import functions as F
 from cohortspark.functions.columns import apply_threshold, vector_element
 from cohortspark.operators.features import assemble_vectors
 from cohortspark.plans import models
+from cohortspark.plans.feature_sets import feature_vectors
+from cohortspark.queries.events import INDEX_CTE, SPEC, feature_frame, wide_cte
 from cohortspark.queries.metrics import SCORED_CTE, scored_frame
 from cohortspark.queries.registry import query, table
 from cohortspark.sources import report_metrics as report, shared_folder
@@ -61,6 +66,11 @@ def swept_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return models.compact(assembled(reduce(DataFrame.unionByName, swept), "pred_hours"))
 
 
+def event_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The feature set of the events: scores, latest values and static attributes before the index times."""
+    return models.compact(feature_vectors(feature_frame(spark, folder), SPEC))
+
+
 def rounded(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("value", F.round("value", 6))
 
@@ -72,8 +82,8 @@ WITH mk AS (SELECT c_custkey{more}, CAST({LABEL} AS INT) AS label,
             CAST(({LABEL}) <> (c_custkey % ({every}) = 3) AS INT) AS x FROM customer{hours})"""
 
 
-def held_out(share: float, seed: int) -> str:
-    return f"""('0x' || substr(md5('{seed}:' || c_custkey::VARCHAR), 1, 8))::BIGINT >= floor({share} * 4294967296)::BIGINT"""
+def held_out(share: float, seed: int, key: str = KEY) -> str:
+    return f"""('0x' || substr(md5('{seed}:' || {key}::VARCHAR), 1, 8))::BIGINT >= floor({share} * 4294967296)::BIGINT"""
 
 
 #: Metrics of predictions that equal the mark, from the numbers tp, fp, fn and tn.
@@ -118,9 +128,31 @@ def search_sql(*names: str) -> str:
     return f"{marked_cte()}, {counted_cte(test)}\nSELECT model, metric, round(value, 6) AS value FROM ({rows})"
 
 
-@query(search_sql("LogisticRegression"))
+def both_searches_sql(name: str) -> str:
+    """A search on the features of the events, and one on the mark."""
+    return f"""
+SELECT 'events' AS features, model, metric, value FROM ({INDEX_CTE}, {wide_cte('latest')},
+ te AS (SELECT label FROM wide WHERE {held_out(0.67, 11, SPEC.entity)})
+ SELECT '{name}' AS model, 'tested_' || label AS metric, count(*)::DOUBLE AS value FROM te GROUP BY label
+ UNION ALL SELECT '{name}', 'metrics_that_are_shares', 6.0::DOUBLE)
+UNION ALL SELECT 'marked', model, metric, value FROM ({search_sql(name)})"""
+
+
+def both_searches(on_events: models.Fitted, on_marks: models.Fitted) -> DataFrame:
+    by_label = F.concat(F.lit("tested_"), F.col("label").cast("int")).alias("metric")
+    tested = on_events.predictions.groupBy("model", by_label).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    share = F.when(F.col("value").between(0, 1), F.col("metric"))
+    shares = on_events.metrics.groupBy("model", F.lit("metrics_that_are_shares").alias("metric")).agg(
+        F.count_distinct(share).cast("double").alias("value")
+    )
+    parts = {"events": tested.unionByName(shares), "marked": rounded(on_marks.metrics)}
+    return reduce(DataFrame.unionByName, [part.withColumn("features", F.lit(name)) for name, part in parts.items()])
+
+
+@query(both_searches_sql("LogisticRegression"))
 def logistic_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(models.fit_logistic_cv(vectors(spark, folder), KEY, parallelism=PARALLEL).metrics)
+    on_events = models.fit_logistic_cv(event_vectors(spark, folder), SPEC.entity, parallelism=PARALLEL)
+    return both_searches(on_events, models.fit_logistic_cv(vectors(spark, folder), KEY, parallelism=PARALLEL))
 
 
 @query(search_sql("RandomForest"))
