@@ -155,9 +155,10 @@ def logistic_cv(spark: SparkSession, folder: str) -> DataFrame:
     return both_searches(on_events, models.fit_logistic_cv(vectors(spark, folder), KEY, parallelism=PARALLEL))
 
 
-@query(search_sql("RandomForest"))
+@query(both_searches_sql("RandomForest"))
 def forest_cv(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(models.fit_forest_cv(vectors(spark, folder), KEY, parallelism=PARALLEL).metrics)
+    on_events = models.fit_forest_cv(event_vectors(spark, folder), SPEC.entity, parallelism=PARALLEL)
+    return both_searches(on_events, models.fit_forest_cv(vectors(spark, folder), KEY, parallelism=PARALLEL))
 
 
 @query(search_sql("GradientBoostedTrees"))

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="given tables are not here")
 
 
-@pytest.mark.parametrize("name, grid", [("logistic_cv", "logistic")])
+@pytest.mark.parametrize("name, grid", [("logistic_cv", "logistic"), ("forest_cv", "forest")])
 def test_search_fits_on_the_features_of_the_events(spark, monkeypatch, name, grid):
     monkeypatch.setitem(models.GRIDS[grid], "full", models.GRIDS[grid]["small"])
     given, prepare = [], models.prepare
