@@ -1,29 +1,35 @@
 """Matching texts against a table of LIKE patterns, without a test of every pattern on every text.
 
-A text can only match a pattern if it holds the pattern's literal parts, and so each run of six characters in them. Of
-these runs a pattern is looked up by the one that the fewest texts hold. Texts are exploded to their distinct runs, an
-equi-join gives the patterns that a text may match, and only these are tested.
-
-Patterns whose literals are shorter are looked up by runs of three characters, two or one; patterns without any literal
-(``%``) by the empty string, which all texts hold then. Texts are told apart by the MD5 of their lower-cased form, so rows need no key
-and equal texts are looked up once. What is exploded carries that digest and not the text: the texts are shuffled once,
-to meet their candidates, and not at all while these fit into a broadcast. A run that nearly all texts hold is seldom
-the rarest of a pattern; when it is, the joins are salted like all others here.
+A text can only match a pattern if it holds the pattern's literal parts, and so each run of six characters in them. All
+patterns' runs go to the Python workers, which look for them in one pass over the bytes of each text and compare the whole
+literal part where one is found (``literal_runs``). Where a pattern is one literal between two ``%`` that settles it; other
+patterns are tested by LIKE on the texts that hold the part. Patterns whose literals are shorter are looked up by runs of
+three characters, two or one; patterns without any literal (``%``) are tested on all texts. No text and no run is shuffled or
+stored.
+
+The runs of at most ``MOST_RUNS`` are in memory at once. A larger table is taken in as many parts, one pass over the texts
+for each, whose matches are put together by the MD5 of the lower-cased text: rows need no key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortspark.functions.columns import column
-from cohortspark.operators.joins import semi_join, spread_join
+from cohortspark.operators.joins import spread_join
+from cohortspark.operators.literal_runs import Search, runs_of
 from cohortspark.sources.checkpoints import durable
 
 LENGTHS = (6, 3, 2, 1, 0)
 
+#: Runs of patterns that are collected and sent to all workers at once; a run is some hundred bytes there.
+MOST_RUNS = 1 << 19
+
 
 def _grams(text: Column, length: int) -> Column:
     """All runs of so many characters, one from each place; the empty string stands for no character."""
@@ -48,18 +54,26 @@ def pattern_grams(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
     return listed.select("pattern", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
-def text_grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(digest, gram) for all distinct runs of these lengths in the texts of (digest, text)."""
-    held = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in lengths]))
-    return texts.select("digest", F.explode(held).alias("gram"))
+def _searched(grams: DataFrame) -> Callable[[Column], Column]:
+    """An expression for (found, likely): which of these patterns a text matches, and which others it may match."""
+    rows = grams.select(F.col("pattern").cast("binary"), F.col("gram").cast("binary"), F.char_length("gram").alias("n")).toArrow()
+    runs = grams.sparkSession.sparkContext.broadcast(runs_of(rows))
+
+    def search(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return map(Search(runs.value), texts)
+
+    kind = "found array<string>, likely array<string>"
+    # said to be non-deterministic so that a filter on the result does not run it a second time
+    return F.arrow_udf(search, kind).asNondeterministic()
 
 
-def rarest_grams(grams: DataFrame, texts: DataFrame, lengths: list[int]) -> DataFrame:
-    """(pattern, gram): of each pattern's runs the one that the fewest texts hold, the first of several."""
-    wanted = grams.select("gram").distinct()
-    counts = semi_join(text_grams(texts, lengths), wanted, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    counted = grams.join(counts, "gram", "left").withColumn("texts", F.coalesce("texts", F.lit(0)))
-    return counted.groupBy("pattern").agg(F.min(F.struct("texts", "gram")).getField("gram").alias("gram"))
+def _tested(plain: Column, searched: Column) -> Column:
+    """All patterns that match a text, in ascending order; those that are only likely are tested by LIKE."""
+    likely = searched.getField("likely")
+    # an array of one text, so that it is lower-cased once and not for each pattern
+    tested = F.element_at(F.transform(F.array(plain), lambda text: F.filter(likely, lambda p: F.like(text, p))), 1)
+    found = searched.getField("found")
+    return F.when(F.size(likely) == 0, found).otherwise(F.sort_array(F.concat(found, tested)))
 
 
 def matched_patterns(
@@ -69,39 +83,28 @@ def matched_patterns(
 
     With ``lower`` the text is lower-cased first; patterns are taken as they are. Missing patterns match nothing.
     """
-    plain = F.lower(column(text)) if lower else column(text)
-    rows = df.withColumn("_digest", F.unhex(F.md5(plain)))
-    texts = df.select(F.unhex(F.md5(plain)).alias("digest"), plain.alias("text")).where(F.col("text").isNotNull())
+    plain = F.lower(column(text)) if lower else column(text).cast("string")
     grams = durable(pattern_grams(patterns, pattern))
-    lengths = sorted({r[0] for r in grams.select(F.char_length("gram")).distinct().collect()})  # at most four numbers
-    if not lengths:
+    parts = -(-grams.count() // MOST_RUNS)
+    if parts == 0:
         nothing = F.when(plain.isNotNull(), F.array().cast("array<string>"))
         return df.withColumn(output, nothing)
-    keys = durable(rarest_grams(grams, texts, lengths))
-    candidates = spread_join(text_grams(texts, lengths), keys, "gram", spread_by=["digest"])
-    candidates = candidates.groupBy(F.col("digest").alias("_digest")).agg(_listed(F.sort_array(F.collect_set("pattern"))).alias("_candidates"))
-    met = spread_join(rows, durable(candidates), "_digest", "left", spread_by=[text])
-    return met.withColumn(output, F.when(plain.isNotNull(), found_in(plain))).select(*df.columns, output)
-
-
-def _listed(patterns: Column) -> Column:
-    """Patterns with the text between two ``%`` where there is nothing else in them, for a plain search."""
-    literal = r"^%([^%_\\]+)%$"
-    return F.transform(
-        patterns, lambda p: F.struct(p.alias("pattern"), F.when(p.rlike(literal), F.regexp_extract(p, literal, 1)).alias("literal"))
-    )
-
-
-def found_in(plain: Column) -> Column:
-    """The candidates that match a text."""
-
-    def holds(text: Column, p: Column) -> Column:
-        return F.when(p.literal.isNotNull(), F.contains(text, p.literal)).otherwise(F.like(text, p.pattern))
-
-    candidates = F.coalesce("_candidates", F.array().cast("array<struct<pattern:string,literal:string>>"))
-    # an array of one text, so that it is lower-cased once and not for each candidate
-    found = F.transform(F.array(plain), lambda text: F.transform(F.filter(candidates, lambda p: holds(text, p)), lambda p: p.pattern))
-    return F.element_at(found, 1)
+    if parts == 1:
+        met = df.withColumn("_searched", _searched(grams)(plain))
+        return met.withColumn(output, F.when(plain.isNotNull(), _tested(plain, F.col("_searched")))).select(*df.columns, output)
+    texts = df.select(F.unhex(F.md5(plain)).alias("_digest"), plain.alias("text")).where(F.col("text").isNotNull())
+    found = []
+    for part in range(parts):
+        some = grams.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part)
+        met = texts.withColumn("_searched", _searched(some)(F.col("text")))
+        held = met.select("_digest", _tested(F.col("text"), F.col("_searched")).alias("_found")).where(F.size("_found") > 0)
+        found.append(durable(held.groupBy("_digest").agg(F.first("_found").alias("_found"))))
+    together = F.array_sort(F.flatten(F.collect_list("_found")))
+    every = reduce(DataFrame.unionByName, found).groupBy("_digest").agg(together.alias("_found"))
+    rows = df.withColumn("_digest", F.unhex(F.md5(plain)))
+    met = spread_join(rows, durable(every), "_digest", "left", spread_by=[text])
+    nothing = F.array().cast("array<string>")
+    return met.withColumn(output, F.when(plain.isNotNull(), F.coalesce("_found", nothing))).select(*df.columns, output)
 
 
 def match_any_of(df: DataFrame, text: str, patterns: DataFrame, pattern: str = "pattern", lower: bool = True) -> DataFrame:
