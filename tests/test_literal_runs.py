@@ -1,8 +1,11 @@
+import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from cohortspark.operators import pattern_table
+from cohortspark.operators import literal_runs, pattern_table
+from cohortspark.operators.literal_runs import Search, runs_of
 from cohortspark.operators.pattern_table import exclude_any_of, match_any_of, matched_patterns
 
 TEXTS = ["red bolt one", "Red Bolt", "a blue nut", "a blue nut\n", "xxéàüöxx", "", None, "plain", "red bolt one"]
@@ -45,3 +48,44 @@ def test_a_table_of_patterns_in_parts(spark, docs, monkeypatch, most):
     assert got.columns == ["id", "text", "patterns"]
     assert {r.id: r.patterns for r in got.collect()} == wanted(PATTERNS)
     assert {r.id for r in match_any_of(docs, "text", table(spark, ["%bolt%", "%blue%"])).collect()} == {0, 1, 2, 3, 8}
+
+
+def test_a_pattern_that_ends_in_a_line_break(spark, docs):
+    """It is not the literal between two % that it begins with."""
+    got = matched_patterns(docs, "text", table(spark, ["%nut%\n", "%nut%"]))
+    assert {r.id: r.patterns for r in got.collect() if r.patterns} == {2: ["%nut%"], 3: ["%nut%", "%nut%\n"]}
+
+
+def runs(patterns):
+    """What pattern_grams gives, without Spark."""
+    rows = []
+    for p in patterns:
+        parts = re.findall(r"[^%_]+", p)
+        found = [(n, {x[i : i + n] for x in parts for i in range(len(x) - n + 1)}) for n in (6, 3, 2, 1)]
+        n, of = next(((n, of) for n, of in found if of), (0, {""}))
+        rows += [(p.encode(), x.encode(), n) for x in sorted(of)]
+    return runs_of(pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["pattern", "gram", "n"]))
+
+
+@pytest.mark.parametrize("window, most", [(1 << 17, 1 << 20), (64, 5), (3, 1), (1, 1 << 20)])
+@pytest.mark.parametrize("letters", ["ab", "aé🙂\0", "abcdefg "])
+def test_literals_are_found_wherever_they_stand(monkeypatch, window, most, letters):
+    """On the borders of windows and texts, as parts of each other, and after runs have been chosen anew."""
+    monkeypatch.setattr(literal_runs, "WINDOW", window)
+    monkeypatch.setattr(literal_runs, "MOST_PAIRS", most)
+    rng = random.Random(window)
+
+    def word(longest):
+        return "".join(rng.choice(letters) for _ in range(rng.randint(0, longest)))
+
+    for _ in range(10):
+        patterns = {rng.choice(["%{}%", "%{}%", "{}%", "%{}_%", "%{}%{}%"]).format(word(12), word(9)) for _ in range(25)}
+        texts = [None, "", *[word(50) for _ in range(20)]]
+        search = Search(runs(patterns))
+        for kind in (pa.string(), pa.large_string()):
+            got = search(pa.array(["left out", *texts, "x"], kind).slice(1, len(texts))).to_pylist()
+            for text, pairs in zip(texts, got, strict=True):
+                want = {p for p in patterns if matches(text or "", p)}
+                plain = {p for p in want if re.fullmatch("%[^%_]+%", p)}
+                assert pairs["found"] == sorted(plain) and want - plain <= set(pairs["likely"])
+                assert pairs["likely"] == sorted(p for p in pairs["likely"] if not re.fullmatch("%[^%_]+%", p))
