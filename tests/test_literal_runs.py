@@ -89,3 +89,15 @@ def test_literals_are_found_wherever_they_stand(monkeypatch, window, most, lette
                 plain = {p for p in want if re.fullmatch("%[^%_]+%", p)}
                 assert pairs["found"] == sorted(plain) and want - plain <= set(pairs["likely"])
                 assert pairs["likely"] == sorted(p for p in pairs["likely"] if not re.fullmatch("%[^%_]+%", p))
+
+
+def test_texts_are_searched_once(spark, docs):
+    """A filter on the matches does not search again, no text is exploded, and the text itself goes no further than the search."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        some = match_any_of(docs, "text", table(spark, PATTERNS)).select("id")
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and "Generate" not in plan and "Exchange" not in plan
+        assert {r.id for r in some.collect()} == {i for i, p in wanted(PATTERNS).items() if p}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
