@@ -2,7 +2,8 @@
 
 A pattern is looked up by one run of its characters (see :func:`~cohortspark.operators.pattern_table.pattern_grams`): at
 each place of a text the next bytes are hashed into a map of these runs, and where one is found, the whole literal part
-around it is compared. UTF-8 shows where a character begins, so equal bytes are equal characters.
+around it is compared. Patterns with more in them than one literal are then tested as a whole. UTF-8 shows where a character
+begins, so equal bytes are equal characters.
 
 Which run stands for a pattern changes the time and no result: it is the one that is rarest in the first texts of a task,
 and among equals the one that the fewest patterns share. When texts come that hold the chosen runs often, their counts are
@@ -12,7 +13,8 @@ added and runs chosen anew.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -47,6 +49,7 @@ class Runs(NamedTuple):
 
     patterns: pa.Array
     plain: np.ndarray  # of each pattern: a literal between two %, which is all that there is to find
+    escaped: np.ndarray  # of each pattern: it holds an escape and is left to SQL
     always: np.ndarray  # patterns without a literal
     owner: np.ndarray  # the number of the run's pattern, ascending
     length: np.ndarray  # bytes that are hashed: as many as the run has characters
@@ -57,6 +60,9 @@ class Runs(NamedTuple):
     size: np.ndarray
     letters: np.ndarray
 
+    def pattern(self, number: int) -> bytes:
+        return self.patterns[number].as_buffer().to_pybytes()
+
 
 def runs_of(table: pa.Table) -> Runs:
     """Of (pattern, run, characters of the run); the empty run stands for a pattern without literals."""
@@ -77,15 +83,84 @@ def runs_of(table: pa.Table) -> Runs:
         letters += pattern
     owner, length, value, back, start, size = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else [[]] * 6))
     _, same, count = np.unique(value << 3 | length, return_inverse=True, return_counts=True)
+    escaped = np.array([b"\\" in x for x in names], bool)
+    plain = np.array([re.fullmatch(rb"%[^%_\\]+%", x) is not None for x in names], bool)
     return Runs(
-        pa.array(names, pa.binary()).view(pa.string()), np.array([re.fullmatch(rb"%[^%_\\]+%", x) is not None for x in names], bool),
+        pa.array(names, pa.binary()).view(pa.string()), plain, escaped,
         np.array(always, np.int64), owner, length, value.view(np.uint64), count[same], back, start, size,
         np.frombuffer(bytes(letters) + bytes(8), np.uint8),
     )
 
 
+def _after(pieces: list[bytes], text: bytes, at: int) -> int:
+    """Where the pieces end that begin at this place, with one character between each two; -1 if they do not stand there."""
+    for i, piece in enumerate(pieces):
+        if i:
+            if at >= len(text):
+                return -1
+            at += 1
+            while at < len(text) and text[at] & 0xC0 == 0x80:
+                at += 1
+        if not text.startswith(piece, at):
+            return -1
+        at += len(piece)
+    return at
+
+
+def _before(pieces: list[bytes], text: bytes, at: int) -> int:
+    """Where the pieces begin that end at this place; -1 if they do not stand there."""
+    for i, piece in enumerate(reversed(pieces)):
+        if i:
+            if at <= 0:
+                return -1
+            at -= 1
+            while at > 0 and text[at] & 0xC0 == 0x80:
+                at -= 1
+        if not text.endswith(piece, 0, at):
+            return -1
+        at -= len(piece)
+    return at
+
+
+def _next(pieces: list[bytes], text: bytes, begin: int, end: int) -> int:
+    """Where the first place of the pieces between these two ends; -1 if there is none."""
+    k = max(range(len(pieces)), key=lambda i: len(pieces[i]))
+    at = text.find(pieces[k], begin, end)
+    while at >= 0:
+        if _before([*pieces[:k], b""], text, at) >= begin:
+            over = _after([b"", *pieces[k + 1 :]], text, at + len(pieces[k]))
+            if 0 <= over <= end:
+                return over
+        at = text.find(pieces[k], at + 1, end)
+    return -1
+
+
+@lru_cache(1 << 12)
+def like(pattern: bytes) -> Callable[[bytes], bool]:
+    """SQL's LIKE for UTF-8 and a pattern without escapes.
+
+    What stands between two % has a fixed number of characters, so it can take its first place each time: there is no going back.
+    """
+    head, *rest = (part.split(b"_") for part in pattern.split(b"%"))
+    if not rest:
+        return lambda text: _after(head, text, 0) == len(text)
+    *middle, tail = rest
+
+    def test(text: bytes) -> bool:
+        end = _before(tail, text, len(text))
+        at = _after(head, text, 0) if end >= 0 else -1
+        if at < 0 or at > end:
+            return False
+        for pieces in middle:
+            if (at := _next(pieces, text, at, end)) < 0:
+                return False
+        return True
+
+    return test
+
+
 class Search:
-    """Pairs of text and pattern such that the text holds a literal part of the pattern, the whole of it if there is no other."""
+    """The patterns that each text matches."""
 
     def __init__(self, runs: Runs) -> None:
         self.runs, self.literals = runs, _words(runs.letters)
@@ -155,7 +230,7 @@ class Search:
             self.choose(here)
 
     def __call__(self, texts: pa.Array) -> pa.StructArray:
-        """``found``: plain patterns that match each text; ``likely``: others that may match it. Both in ascending order."""
+        """``found``: patterns that match each text; ``likely``: those with an escape that may match it. Both in ascending order."""
         runs, n = self.runs, len(texts)
         wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
         ends, data = texts.buffers()[1:]
@@ -168,9 +243,16 @@ class Search:
         for begin in range(0, len(padded) - 8, WINDOW):
             pairs += self._pairs(words, begin, min(begin + WINDOW, len(padded) - 8), ends)
         row, pattern = np.divmod(np.unique(np.concatenate(pairs)), len(runs.patterns))
+        kept, last, text = np.ones(len(row), bool), -1, b""
+        others = np.flatnonzero(~(runs.plain | runs.escaped)[pattern])
+        for i, r, p in zip(others.tolist(), row[others].tolist(), pattern[others].tolist(), strict=True):
+            if r != last:
+                last, text = r, padded[ends[r] : ends[r + 1]].tobytes()
+            kept[i] = like(runs.pattern(p))(text)
+        row, pattern = row[kept], pattern[kept]
 
         def listed(mine: np.ndarray) -> pa.ListArray:
             offsets = np.searchsorted(row[mine], np.arange(n + 1))
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), runs.patterns.take(pa.array(pattern[mine])))
 
-        return pa.StructArray.from_arrays([listed(runs.plain[pattern]), listed(~runs.plain[pattern])], ["found", "likely"])
+        return pa.StructArray.from_arrays([listed(~runs.escaped[pattern]), listed(runs.escaped[pattern])], ["found", "likely"])

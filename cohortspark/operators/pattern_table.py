@@ -3,9 +3,9 @@
 A text can only match a pattern if it holds the pattern's literal parts, and so each run of six characters in them. All
 patterns' runs go to the Python workers, which look for them in one pass over the bytes of each text and compare the whole
 literal part where one is found (``literal_runs``). Where a pattern is one literal between two ``%`` that settles it; other
-patterns are tested by LIKE on the texts that hold the part. Patterns whose literals are shorter are looked up by runs of
-three characters, two or one; patterns without any literal (``%``) are tested on all texts. No text and no run is shuffled or
-stored.
+patterns are tested as a whole on the texts that hold the part, those with an escape by Spark's LIKE. Patterns whose literals
+are shorter are looked up by runs of three characters, two or one; patterns without any literal (``%``) are tested on all
+texts. No text and no run is shuffled or stored.
 
 The runs of at most ``MOST_RUNS`` are in memory at once. A larger table is taken in as many parts, one pass over the texts
 for each, whose matches are put together by the MD5 of the lower-cased text: rows need no key.
@@ -55,7 +55,7 @@ def pattern_grams(patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
 
 
 def _searched(grams: DataFrame) -> Callable[[Column], Column]:
-    """An expression for (found, likely): which of these patterns a text matches, and which others it may match."""
+    """An expression for (found, likely): which of these patterns a text matches, and which with an escape it may match."""
     rows = grams.select(F.col("pattern").cast("binary"), F.col("gram").cast("binary"), F.char_length("gram").alias("n")).toArrow()
     runs = grams.sparkSession.sparkContext.broadcast(runs_of(rows))
 
